@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, quality, url_filter
+from . import chat, decontaminate, quality, url_filter
 from .common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -25,7 +25,7 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(t
 s AS (
   SELECT doc_id, t, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
          length(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
-         list_filter(string_split(t, chr(10)), x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
+         list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines
   FROM d),
 g AS (
   SELECT doc_id, i, array_to_string(w[i:i + 4], ' ') AS gram
@@ -109,9 +109,38 @@ SELECT conv_id::BIGINT AS conv_id, count(*)::BIGINT AS n_turns,
 FROM n GROUP BY conv_id
 """
 
+
+
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ",").cast("binary"), 256).alias("items_sha256"), "contaminated",
+    )
+
+
+OP7_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+t AS (
+  SELECT item_id, least(len(w), 13) AS size, array_to_string(w[i:i + 12], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(len(w) - 12, 1) + 1)) AS i FROM b WHERE len(w) > 0)),
+z AS (SELECT DISTINCT size FROM t),
+g AS (
+  SELECT n, i, size, array_to_string(w[i:i + size - 1], ' ') AS phrase
+  FROM (SELECT n, w, size, unnest(range(1, len(w) - size + 2)) AS i FROM d CROSS JOIN z WHERE len(w) >= size)),
+h AS (SELECT DISTINCT n, i, size, item_id FROM g JOIN t USING (size, phrase)),
+c AS (SELECT n, count(DISTINCT p) AS n_hit FROM (SELECT n, unnest(range(i, i + size)) AS p FROM h) GROUP BY n),
+x AS (SELECT n, count(*) AS n_items, string_agg(item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM (SELECT DISTINCT n, item_id FROM h) GROUP BY n)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit > 0 AND 20 * n_hit >= len(w), FALSE) AS contaminated
+FROM d LEFT JOIN c USING (n) LEFT JOIN x USING (n)
+"""
+
 QUERIES = {
+    "op7_decontaminate": op7_decontaminate,
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filter": op2_url_filter,
     "op10_chat_format": op10_chat_format,
 }
-SQL = {"op1_quality_rules": OP1_SQL, "op2_url_filter": OP2_SQL, "op10_chat_format": OP10_SQL}
+SQL = {"op7_decontaminate": OP7_SQL, "op1_quality_rules": OP1_SQL, "op2_url_filter": OP2_SQL, "op10_chat_format": OP10_SQL}
