@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, quality, url_filter
+from . import chat, decontaminate, langid, packing, quality, secrets, url_filter
 from .common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -137,7 +138,41 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN c USING (n) LEFT JOIN x USING (n)
 """
 
+
+def _joined_spans(spans: Column) -> Column:
+    """kind:start:end, comma-joined, in the order given."""
+    return F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
+
+
+def _sha(text: Column) -> Column:
+    return F.sha2(text.cast("binary"), 256)
+
+
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.find_secrets(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("spans", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    base = F.filter("spans", lambda x: x["kind"].isin(*secrets.BASE))
+    return found.select("doc_id", *[count(k) for k in secrets.BASE], _sha(_joined_spans(base)).alias("base_sha256"), _joined_spans(F.col("spans")).alias("spans"))
+
+
+def op5_pack_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tokenizer = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer)
+
+
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    net = langid.learn(docs.where(~langid.held_out(F.col("doc_id"))))
+    return langid.identify(docs, net).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 QUERIES = {
+    "op4_secret_scan": op4_secret_scan,
+    "op5_pack_sequences": op5_pack_sequences,
+    "op6_language_id": op6_language_id,
     "op7_decontaminate": op7_decontaminate,
     "op1_quality_rules": op1_quality_rules,
     "op2_url_filter": op2_url_filter,
