@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, packing, quality, secrets, url_filter
+from . import chat, decontaminate, langid, near_dup, packing, quality, secrets, url_filter
 from .common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -169,7 +169,30 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(docs, net).select("doc_id", langid.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
+
+def op8_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP8_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+  FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, hash(array_to_string(w[i:i + 4], ' ')) AS gram
+  FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.gram = b.gram AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (
+  SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 75 * (x.n + y.n - c)),
+l AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS node, doc_id AS root FROM d UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.node WHERE r.root < l.b)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.root AS component_id, d.doc_id = m.root AS kept
+FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS root FROM r GROUP BY node) m ON m.node = d.doc_id
+"""
+
 QUERIES = {
+    "op8_near_dedup": op8_near_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_pack_sequences": op5_pack_sequences,
     "op6_language_id": op6_language_id,
@@ -178,4 +201,4 @@ QUERIES = {
     "op2_url_filter": op2_url_filter,
     "op10_chat_format": op10_chat_format,
 }
-SQL = {"op7_decontaminate": OP7_SQL, "op1_quality_rules": OP1_SQL, "op2_url_filter": OP2_SQL, "op10_chat_format": OP10_SQL}
+SQL = {"op8_near_dedup": OP8_SQL, "op7_decontaminate": OP7_SQL, "op1_quality_rules": OP1_SQL, "op2_url_filter": OP2_SQL, "op10_chat_format": OP10_SQL}
