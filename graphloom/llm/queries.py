@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, near_dup, packing, quality, secrets, url_filter
+from . import chat, decontaminate, langid, lm, near_dup, packing, quality, secrets, url_filter
 from .common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -191,7 +191,13 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, m.root AS component_id,
 FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT node, min(root) AS root FROM r GROUP BY node) m ON m.node = d.doc_id
 """
 
+
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES = {
+    "op3_lm_score": op3_lm_score,
     "op8_near_dedup": op8_near_dedup,
     "op4_secret_scan": op4_secret_scan,
     "op5_pack_sequences": op5_pack_sequences,
