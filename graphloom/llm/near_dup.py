@@ -171,8 +171,12 @@ def links(docs: DataFrame, fingerprints: DataFrame) -> tuple[DataFrame, DataFram
     members = comp.select("id", "comp").distinct().join(sizes.where(F.col("size") > BLOCK), "comp")
     second = _against_large(stored(wanted_large), members, sets)
     small = left.where(F.col("size") <= BLOCK).select("key", "id", "n", "s", "comp")
-    x, y = (small.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "n", "s", "comp")]) for p in "xy")
-    met = x.join(y, (x["key"] == y["key"]) & (F.col("x_id") < F.col("y_id")) & (F.col("x_comp") != F.col("y_comp")) & _can_link("x_", "y_"))
+    own = small.groupBy("id").agg(F.collect_list("key").alias("keys"))  # a prefix, so 38 at most
+    small = small.join(own, "id")
+    x, y = (small.select("key", *[F.col(c).alias(f"{p}_{c}") for c in ("id", "n", "s", "comp", "keys")]) for p in "xy")
+    # a pair is taken in the first of the lists in which it meets only
+    once = F.array_min(F.array_intersect("x_keys", "y_keys")) == x["key"]
+    met = x.join(y, (x["key"] == y["key"]) & (F.col("x_id") < F.col("y_id")) & (F.col("x_comp") != F.col("y_comp")) & _can_link("x_", "y_") & once)
     third = _confirmed(met.select(F.col("x_id").alias("a"), F.col("y_id").alias("b")).distinct(), sets)
     return reps, stored(first.unionByName(second).unionByName(third))
 
