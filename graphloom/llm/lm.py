@@ -33,9 +33,9 @@ from pyspark.sql import types as T
 
 from .common import stored
 
-OUTPUTS, SHAPES, CONTEXT, DIMENSION = 512, 256, 3, 24
-BUCKET_CHARS = 12_000_000
-TRAIN_EVERY, PASSES, NOISE, RATE, BATCH = 8, 2, 12, 0.08, 1024
+OUTPUTS, SHAPES, CONTEXT, DIMENSION = 512, 128, 2, 24
+BUCKET_CHARS = 8_000_000
+TRAIN_EVERY, PASSES, NOISE, RATE, BATCH = 8, 1, 12, 0.1, 512
 END = b"\n"  # no word holds it
 
 
