@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontaminate, langid, lm, near_dup, packing, quality, secrets, url_filter
+from . import chat, decontaminate, langid, lm, near_dup, packing, pii, quality, secrets, url_filter
 from .common import table
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -196,7 +196,18 @@ def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+
+def op9_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_spans(table(spark, sf_dir, "documents"))
+
+    def count(kind: str) -> Column:
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("bigint").alias(f"n_{kind}")
+
+    return found.select("doc_id", *[count(k) for k in pii.KINDS], _sha(_joined_spans(F.col("base"))).alias("base_sha256"), _joined_spans(F.col("spans")).alias("spans"))
+
+
 QUERIES = {
+    "op9_personal_data": op9_personal_data,
     "op3_lm_score": op3_lm_score,
     "op8_near_dedup": op8_near_dedup,
     "op4_secret_scan": op4_secret_scan,
