@@ -1 +1,5 @@
-"""See the package README."""
+"""The query front end: text to DataFrame plans."""
+
+from .query import run_query
+
+__all__ = ["run_query"]

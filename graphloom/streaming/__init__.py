@@ -1 +1,34 @@
-"""See the package README."""
+"""Streams into a graph: each micro-batch goes through a transformation and is appended as Parquet."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
+
+
+def ingest(stream: DataFrame, transform: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, interval: str | None = None) -> StreamingQuery:
+    """Starts the stream; without an interval it takes what there is and ends. A batch that is written again replaces itself."""
+    def write(batch: DataFrame, number: int) -> None:
+        transform(batch).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=interval) if interval else writer.trigger(availableNow=True)).start()
+
+
+def changes(old: DataFrame, new: DataFrame, key: str = "id") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What a trigger sees: created, deleted and updated rows."""
+    created, deleted = new.join(old.select(key), key, "left_anti"), old.join(new.select(key), key, "left_anti")
+    return created, deleted, new.exceptAll(old).join(created.select(key), key, "left_anti")
+
+
+def windowed_counts(events: DataFrame, every: str = "1 day", late: str = "1 day") -> DataFrame:
+    """Events per window and kind, for batches and for streams."""
+    grouped = (events.withWatermark("ts", late) if events.isStreaming else events).groupBy(F.window("ts", every), "event_type")
+    return grouped.agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
+
+
+def read_files(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.readStream.schema(schema).parquet(path)
