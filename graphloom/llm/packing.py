@@ -236,10 +236,10 @@ def pack_documents(docs: DataFrame, tokenizer: str, size: int = SIZE, shard_piec
 def packed_sequences(docs: DataFrame, tokenizer: str, size: int = SIZE, shard_pieces: int = SHARD_PIECES) -> DataFrame:
     """The sequences themselves: sequence_id, ids array<int>, doc_ids (of the pieces, in order), lengths."""
     pieces = stored(tokenize(docs, tokenizer, size))
-    placed = assign_sequences(pieces.drop("ids"), size, shard_pieces).withColumn("copy", F.lit(0))
-    full = pieces.dropDuplicates(["doc_id", "piece", "ids_crc32"])
-    same = placed["doc_id"].eqNullSafe(full["doc_id"]) & (placed["piece"] == full["piece"]) & (placed["ids_crc32"] == full["ids_crc32"])
-    joined = placed.join(full, same).select(placed["sequence_id"], F.struct(placed["offset"], placed["doc_id"], placed["length"], full["ids"]).alias("p"))
+    placed = assign_sequences(pieces.drop("ids"), size, shard_pieces).alias("a")
+    full = pieces.dropDuplicates(["doc_id", "piece", "ids_crc32"]).alias("b")
+    same = F.col("a.doc_id").eqNullSafe(F.col("b.doc_id")) & (F.col("a.piece") == F.col("b.piece")) & (F.col("a.ids_crc32") == F.col("b.ids_crc32"))
+    joined = placed.join(full, same).select("a.sequence_id", F.struct("a.offset", "a.doc_id", "a.length", "b.ids").alias("p"))
     rows = joined.groupBy("sequence_id").agg(F.array_sort(F.collect_list("p")).alias("p"))
     return rows.select(
         "sequence_id", F.flatten(F.transform("p", lambda p: p["ids"])).alias("ids"),

@@ -73,7 +73,7 @@ def _luhn(digits: Column) -> Column:
 
 
 def base_spans(docs: DataFrame) -> DataFrame:
-    """(key, kind, start, end) of the base kinds."""
+    """(key, kind, start, end, match) of the base kinds."""
     match = F.col("match")
     digits = _digits(match)
     small = F.forall(F.split(match, r"\."), lambda p: F.lpad(F.regexp_replace(p, "^0+", ""), 20, "0") <= F.lpad(F.lit("255"), 20, "0"))
@@ -84,7 +84,7 @@ def base_spans(docs: DataFrame) -> DataFrame:
     out = None
     for kind in KINDS:
         long = F.forall(F.split(match, r"\."), lambda p: F.length(F.regexp_replace(p, "^0+", "")) <= 3) if kind == "ip" else F.lit(True)
-        one = _located(docs, kind).where(long & fits[kind]).select("key", "kind", "start", (F.col("start") + F.char_length("match")).alias("end"))
+        one = _located(docs, kind).where(long & fits[kind]).select("key", "kind", "start", (F.col("start") + F.char_length("match")).alias("end"), "match")
         out = one if out is None else out.unionByName(one)
     return out
 
@@ -105,16 +105,16 @@ def find_personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     value = F.regexp_replace(F.regexp_replace("match", left, ""), right, "")
     seen = _located(docs, "word").select("key", "gap", value.alias("value"), (F.col("start") + lead).alias("start")).where("value != '' AND gap IS NOT NULL")
     seen = seen.withColumn("end", F.col("start") + F.char_length("value"))
-    spans = base.select(F.col("key").alias("k"), F.col("kind").alias("base"), F.col("start").alias("b"), F.col("end").alias("e"))
+    spans = base.select(F.col("key").alias("k"), F.col("kind").alias("base"), F.col("start").alias("b"), F.col("end").alias("e"), "match")
     met = seen.join(spans, (seen["key"] == spans["k"]) & (seen["start"] < spans["e"]) & (spans["b"] < seen["end"]), "left")
-    instances = stored(met.groupBy("key", "gap", "value", "start", "end").agg(F.min("base").alias("base")))
-    busy = instances.groupBy("gap").agg(F.countDistinct("value").alias("n")).where(F.col("n") >= SUPPORT).select("gap")
+    instances = stored(met.groupBy("key", "gap", "value", "start", "end").agg(F.min("base").alias("base"), F.coalesce(F.min("match"), F.col("value")).alias("whole")))
+    busy = instances.groupBy("gap").agg(F.countDistinct("whole").alias("n")).where(F.col("n") >= SUPPORT).select("gap")
     totals = stored(_word_counts(docs, busy))
     known = instances.withColumn("label", F.col("base"))
     size = -1
     for _ in range(ROUNDS):
         scored = (
-            known.where("label IS NOT NULL").groupBy("gap", "label").agg(F.countDistinct("value").alias("f"))
+            known.where("label IS NOT NULL").groupBy("gap", "label").agg(F.countDistinct("whole").alias("f"))
             .join(totals, "gap").where((F.col("f") >= SUPPORT) & (F.col("f") >= F.col("total") * CONFIDENCE))
             .groupBy("gap").agg(F.max(F.struct("f", "label")).alias("best")).select("gap", F.col("best.label").alias("found"))
         )
@@ -125,7 +125,7 @@ def find_personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
             break
         size = now
     new = known.where("base IS NULL AND label IS NOT NULL").select("key", F.col("label").alias("kind"), "start", "end")
-    return base, new
+    return base.drop("match"), new
 
 
 def personal_spans(docs: DataFrame) -> DataFrame:
