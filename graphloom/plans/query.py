@@ -289,12 +289,16 @@ class Compiler(Reader):
             keys = [F.expr(e.sql).alias(n) for n, e in items if not e.aggregate]
             sums = [F.expr(e.sql).alias(n) for n, e in items if e.aggregate]
             out = scope.df.groupBy(*keys).agg(*sums).select(*[F.col(f"`{n}`") for n, _ in items])
-            wide = out
         else:
-            wide = scope.df.select("*", *[F.expr(e.sql).alias(n) for n, e in items if n not in scope.df.columns])
             out = scope.df.select(*[F.expr(e.sql).alias(n) for n, e in items])
         if distinct:
-            out = wide = out.distinct()
+            out = out.distinct()
+        # ORDER BY sees the new columns and, unless rows were merged, the old ones; a new name may equal an old one
+        place = {n: f"_out{i}" for i, (n, _) in enumerate(items)}
+        if distinct or any(e.aggregate for _, e in items):
+            wide = out.withColumnsRenamed(place)
+        else:
+            wide = scope.df.select("*", *[F.expr(e.sql).alias(place[n]) for n, e in items])
         nodes = {n: scope.nodes[e.sql.strip("`")] for n, e in items if e.sql.strip("`") in scope.nodes}
         if self.peek().word == "ORDER":
             self.at += 1
@@ -303,12 +307,13 @@ class Compiler(Reader):
             named = {e.text: n for n, e in items}
             while not order or self.take(","):
                 e = self.expression()
-                column = F.col(f"`{named[e.text]}`") if e.text in named else F.expr(e.sql)
+                bare = e.sql.strip("`")
+                column = F.col(place[named[e.text]]) if e.text in named else F.col(place[bare]) if bare in place else F.expr(e.sql)
                 down = self.take("DESC", "DESCENDING")
                 if not down:
                     self.take("ASC", "ASCENDING")
                 order.append(column.desc_nulls_first() if down else column.asc_nulls_last())
-            out = wide.orderBy(*order).select(*[F.col(f"`{n}`") for n, _ in items])
+            out = wide.orderBy(*order).select(*[F.col(place[n]).alias(n) for n, _ in items])
         if self.take("SKIP"):
             out = out.offset(self._number())
         if self.take("LIMIT"):
