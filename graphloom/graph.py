@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -119,6 +120,7 @@ LABELS = ("Region", "Nation", "Customer", "Supplier", "Part", "Order")
 
 def from_star_schema(spark: SparkSession, sf_dir: str) -> Graph:
     """The trade tables as a graph; an id is the label's number times 10^12 plus the key."""
+    @functools.cache  # a table's footer is read once for all its labels and relationships
     def read(name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
