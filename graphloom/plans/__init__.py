@@ -1,5 +1,6 @@
-"""The query front end: text to DataFrame plans."""
+"""The query front end: text to DataFrame plans, and updates to new graphs."""
 
 from .query import run_query
+from .update import run_update
 
-__all__ = ["run_query"]
+__all__ = ["run_query", "run_update"]

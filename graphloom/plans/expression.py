@@ -227,6 +227,9 @@ class Reader:
         if t.kind == "name" and self.peek().text == "(":
             self.at += 1
             return self._call(t.text.lower())
+        if t.kind == "name" and self.peek().text == "." and self.peek(1).kind == "name" and self.peek(2).text == "(":
+            module, self.at = t.text.lower(), self.at + 2
+            return self._call(f"{module}.{self.tokens[self.at - 1].text.lower()}", skip=True)
         if t.kind == "name":
             return f"`{t.text.strip('`')}`"
         raise SyntaxError(f"an expression is expected before {t.text!r}")
@@ -259,7 +262,9 @@ class Reader:
             self.take(",")
         return f"array({', '.join(parts)})"
 
-    def _call(self, name: str) -> str:
+    def _call(self, name: str, skip: bool = False) -> str:
+        """A call; the cursor is past its bracket, or before it with skip."""
+        self.at += skip
         if name in ("all", "any", "none", "single", "filter", "extract") and self.peek(1).word == "IN":
             var = self.name()
             self.need("IN")
@@ -290,8 +295,6 @@ class Reader:
             self.take(",")
         if name in AGGREGATES:
             self.found_aggregate = True
-
-
             return AGGREGATES[name].format(*args, d="distinct " if distinct else "", collect="collect_set" if distinct else "collect_list")
         if name == "range":
             a, b, step = (*args, "1L")[:3]
@@ -302,7 +305,7 @@ class Reader:
             return f"(case when {args[0]} is null then null else size({args[0]}) end)" if not args[0].startswith("'") else f"char_length({args[0]})"
         if name not in FUNCTIONS:
             raise SyntaxError(f"there is no function {name}")
-        return FUNCTIONS[name].replace("{*}", ", ".join(args)).format(*args)
+        return FUNCTIONS[name].format(*args, all=", ".join(args), rest=", ".join(args[1:]))
 
 
 def _spelled(tokens: list[Token]) -> str:

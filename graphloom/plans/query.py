@@ -1,6 +1,7 @@
 """Query text -> DataFrame. Patterns become joins on typed tables; variables are struct columns, of which Catalyst keeps only the fields used.
 
-Clauses: MATCH, OPTIONAL MATCH, WHERE (with EXISTS and COUNT subqueries over a pattern), WITH, RETURN [DISTINCT] ... ORDER BY SKIP LIMIT, UNWIND, UNION [ALL].
+Clauses: MATCH, OPTIONAL MATCH, WHERE (with EXISTS and COUNT subqueries over a pattern), WITH, RETURN [DISTINCT] ... ORDER BY SKIP LIMIT, UNWIND, UNION [ALL],
+CALL procedure YIELD, CALL { query } without outer variables, LOAD CSV, PARQUET and JSONL, EXPLAIN and USING hints (hints change no result).
 """
 
 from __future__ import annotations
@@ -11,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..graph import Graph
-from ..operators.traversal import both_ways, reach, trails
+from ..operators.procedures import PROCEDURES
+from ..operators.traversal import both_ways, reach, trails, weighted_shortest
+from ..sources import load_csv, load_jsonl, load_parquet
 from .expression import Expr, Reader, Token, tokens_of
 
 
@@ -30,6 +33,7 @@ class RelPattern:
     direction: str  # out, in, both
     hops: tuple[int, int] | None = None
     breadth_first: bool = False
+    weight: tuple[str, str, str] | None = None  # the lambda's relationship, its expression, the total's name
 
 
 @dataclass
@@ -66,27 +70,117 @@ class Compiler(Reader):
     def _single(self) -> DataFrame:
         scope = Scope(self.graph.spark.range(1).select())
         begun = False
-        while True:
-            if self.take("MATCH"):
-                scope = self._match(scope, begun, False)
-            elif self.peek().word == "OPTIONAL":
+        while not self.take("RETURN"):
+            scope = self._clause(scope, begun)
+            begun = True
+        return self._project(scope).df
+
+    def _clause(self, scope: Scope, begun: bool) -> Scope:
+        """One reading clause."""
+        if self.take("MATCH"):
+            return self._match(scope, begun, False)
+        if self.take("OPTIONAL"):
+            self.need("MATCH")
+            return self._match(scope, begun, True)
+        if self.take("UNWIND"):
+            items = self.expression()
+            self.need("AS")
+            each = F.explode(F.expr(items.sql)).alias(self.name())
+            return Scope(scope.df.select("*", each), dict(scope.nodes), set(scope.rels))
+        if self.peek().word == "CALL":
+            return self._procedure(scope)
+        if self.peek().word == "LOAD":
+            return self._load(scope)
+        if self.take("USING"):
+            while self.peek().word not in ("MATCH", "OPTIONAL", "UNWIND", "WITH", "RETURN", "CALL", "LOAD") and self.peek().kind != "end":
                 self.at += 1
-                self.need("MATCH")
-                scope = self._match(scope, begun, True)
-            elif self.take("UNWIND"):
-                items = self.expression()
-                self.need("AS")
-                var = self.name()
-                scope = Scope(scope.df.select("*", F.explode(F.expr(items.sql)).alias(var)), dict(scope.nodes), set(scope.rels))
-            elif self.take("WITH"):
-                scope = self._project(scope)
-                if self.take("WHERE"):
-                    scope = self._where(scope)
-            elif self.take("RETURN"):
-                return self._project(scope).df
+            return scope
+        if self.take("WITH"):
+            scope = self._project(scope)
+            return self._where(scope) if self.take("WHERE") else scope
+        raise SyntaxError(f"a clause is expected before {self.peek().text!r}")
+
+    @staticmethod
+    def _beside(scope: Scope, df: DataFrame) -> DataFrame:
+        return scope.df.crossJoin(df) if scope.df.columns else df
+
+    def _procedure(self, scope: Scope) -> Scope:
+        self.need("CALL")
+        if self.take("{"):
+            if self.peek().word == "WITH":
+                raise SyntaxError("a subquery with outer variables is not supported")
+            inner = self._single()
+            self.need("}")
+            return Scope(self._beside(scope, inner), scope.nodes, scope.rels)
+        name = self.name()
+        while self.take("."):
+            name += "." + self.name()
+        if name.lower() not in PROCEDURES:
+            raise SyntaxError(f"there is no procedure {name}")
+        self.need("(")
+        args: list[object] = []
+        while not self.take(")"):
+            args.append(self._value())
+            self.take(",")
+        out, nodes = PROCEDURES[name.lower()](self.graph, *args), dict(scope.nodes)
+        if self.take("YIELD"):
+            picked: list[tuple[str, str]] = []
+            while not picked or self.take(","):
+                if self.take("*"):
+                    picked += [(c, c) for c in out.columns]
+                    continue
+                field_name = self.name()
+                picked.append((field_name, self.name() if self.take("AS") else field_name))
+            out = out.select(*[F.col(c).alias(n) for c, n in picked])
+            for c, n in picked:  # ids of nodes become the nodes
+                if c in ("node", "node1", "node2", "neighbour", "node_from", "node_to"):
+                    found = self.graph.node_table().select(F.struct("*").alias(f"{n}_node"))
+                    out = out.join(found, F.col(n) == F.col(f"{n}_node.id")).drop(n).withColumnRenamed(f"{n}_node", n)
+                    nodes[n] = None
+        scope = Scope(self._beside(scope, out), nodes, set(scope.rels))
+        return self._where(scope) if self.take("WHERE") else scope
+
+    def _value(self) -> object:
+        """A constant argument: a number, a string, a truth value, null, a parameter or a list of these."""
+        t = self.peek()
+        self.at += 1
+        if t.text == "[":
+            out = []
+            while not self.take("]"):
+                out.append(self._value())
+                self.take(",")
+            return out
+        if t.text == "-":
+            return -self._value()
+        if t.kind == "num":
+            return int(t.text) if t.text.isdigit() else float(t.text)
+        if t.kind == "str":
+            return t.text[1:-1]
+        if t.kind == "param":
+            return self.params[t.text[1:]]
+        if t.word in ("TRUE", "FALSE", "NULL"):
+            return {"TRUE": True, "FALSE": False, "NULL": None}[t.word]
+        raise SyntaxError(f"a constant is expected before {t.text!r}")
+
+    def _load(self, scope: Scope) -> Scope:
+        """LOAD CSV FROM path WITH|NO HEADER [IGNORE BAD] [DELIMITER d] [QUOTE q] [NULLIF n] AS row, LOAD PARQUET|JSONL FROM path AS row."""
+        self.need("LOAD")
+        kind = self.name().upper()
+        self.need("FROM")
+        path, options = self._value(), {}
+        while not self.take("AS"):
+            word = self.name().upper()
+            if word in ("WITH", "NO"):
+                self.need("HEADER")
+                options["header"] = word == "WITH"
+            elif word == "IGNORE":
+                self.need("BAD")
+                options["ignore_bad"] = True
             else:
-                raise SyntaxError(f"a clause is expected before {self.peek().text!r}")
-            begun = True
+                options[{"DELIMITER": "delimiter", "QUOTE": "quote", "NULLIF": "null_if"}[word]] = self._value()
+        rows = {"CSV": load_csv, "PARQUET": load_parquet, "JSONL": load_jsonl}[kind](self.graph.spark, path, **options)
+        whole = F.struct("*") if options.get("header", True) else F.array("*")
+        return Scope(self._beside(scope, rows.select(whole.alias(self.name()))), dict(scope.nodes), set(scope.rels))
 
     # patterns
 
@@ -125,6 +219,7 @@ class Compiler(Reader):
             rel.types = self._names()
             if self.take("*"):
                 rel.breadth_first = self.take("BFS")
+                lightest = self.take("WSHORTEST")
                 low, high = 1, None
                 if self.peek().kind == "num":
                     low = int(self.peek().text)
@@ -136,6 +231,15 @@ class Compiler(Reader):
                         high = int(self.peek().text)
                         self.at += 1
                 rel.hops = (low, high if high is not None else -1)
+                if lightest:
+                    self.need("(")
+                    each = self.name()
+                    self.need(",")
+                    self.name()
+                    self.need("|")
+                    rel.weight = (each, self._or(), "")
+                    self.need(")")
+                    rel.weight = (*rel.weight[:2], self.name() if self.peek().kind == "name" else self.new_name())
             rel.props = self._props()
             self.need("]")
         right = self.take("->")
@@ -168,7 +272,7 @@ class Compiler(Reader):
             df = self._with_props(df, first.var, first.props)
         elif len(parts) > 1 and parts[-1].var in nodes:  # walk from the bound end
             flip = {"out": "in", "in": "out", "both": "both"}
-            back = [RelPattern(p.var, p.types, p.props, flip[p.direction], p.hops, p.breadth_first) if isinstance(p, RelPattern) else p for p in reversed(parts)]
+            back = [RelPattern(p.var, p.types, p.props, flip[p.direction], p.hops, p.breadth_first, p.weight) if isinstance(p, RelPattern) else p for p in reversed(parts)]
             return self._bind(scope, back)
         else:
             scanned = self._scan(first)
@@ -180,7 +284,8 @@ class Compiler(Reader):
             labels_here = nodes.get(here.var)
             labels_there = nodes.get(node.var) if bound else node.labels
             key = self.new_name()
-            steps = self._steps(rel, labels_here, labels_there, key)
+            starts = df.select(F.col(f"{here.var}.id").alias("id")).distinct() if rel.hops else None
+            steps = self._steps(rel, labels_here, labels_there, key, starts)
             df = df.join(steps, F.col(f"{here.var}.id") == F.col(f"{key}src")).drop(f"{key}src")
             if bound:
                 df = df.where(F.col(f"{node.var}.id") == F.col(f"{key}dst")).drop(f"{key}dst")
@@ -196,8 +301,8 @@ class Compiler(Reader):
             here = node
         return Scope(df, nodes, rels)
 
-    def _steps(self, rel: RelPattern, here: set[str] | None, there: set[str] | None, key: str) -> DataFrame:
-        """(key src, key dst, rel.var) of one hop or of a range of hops."""
+    def _steps(self, rel: RelPattern, here: set[str] | None, there: set[str] | None, key: str, starts: DataFrame | None) -> DataFrame:
+        """(key src, key dst, rel.var) of one hop, or of a range of hops from the starts that the rows hold."""
         many = rel.hops is not None
         source, target = (here, there) if rel.direction == "out" else (there, here)
         if many or rel.direction == "both":
@@ -212,11 +317,15 @@ class Compiler(Reader):
         if not many:
             return table.select(F.col("src").alias(f"{key}src"), F.col("dst").alias(f"{key}dst"), F.struct("*").alias(rel.var))
         low, high = rel.hops
-        sources = self.graph.node_table(here).select("id")
+        if rel.weight:
+            each, sql, total = rel.weight
+            weighed = table.select("src", "dst", F.struct("*").alias(each)).select("src", "dst", F.expr(sql).alias("weight"))
+            found = weighted_shortest(weighed, starts, None if high < 0 else high).where(F.size("path") > 1)
+            return found.select(F.col("source").alias(f"{key}src"), F.col("node").alias(f"{key}dst"), F.col("path").alias(rel.var), F.col("weight").alias(total))
         if rel.breadth_first or high < 0:
-            found = reach(table, sources, None if high < 0 else high).where(F.col("depth") >= low)
+            found = reach(table, starts, None if high < 0 else high).where(F.col("depth") >= low)
             return found.select(F.col("source").alias(f"{key}src"), F.col("node").alias(f"{key}dst"), F.col("depth").alias(rel.var))
-        return trails(table, sources, low, high).select(F.col("source").alias(f"{key}src"), F.col("node").alias(f"{key}dst"), F.col("rels").alias(rel.var))
+        return trails(table, starts, low, high).select(F.col("source").alias(f"{key}src"), F.col("node").alias(f"{key}dst"), F.col("rels").alias(rel.var))
 
     def _match(self, scope: Scope, begun: bool, optional: bool) -> Scope:
         patterns = [self._pattern()]
@@ -327,4 +436,11 @@ class Compiler(Reader):
 
 
 def run_query(graph: Graph, text: str, **params: object) -> DataFrame:
-    return Compiler(graph, text, params).compile()
+    """The rows of a query; EXPLAIN gives one row with the plan."""
+    reader = Compiler(graph, text, params)
+    explained = reader.take("EXPLAIN", "PROFILE")
+    out = reader.compile()
+    if explained:
+        plan = out._jdf.queryExecution().explainString(graph.spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+        return graph.spark.createDataFrame([(plan,)], "plan string")
+    return out
