@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .graph import Graph, from_star_schema
-from .operators import algorithms, traversal
-from .plans import run_query
+from .operators import algorithms, structure, traversal
+from .plans import run_query, run_update
 from .streaming import changes, windowed_counts
 
 #: name: (query text, SQL)
@@ -66,6 +66,16 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT x, len(odd) AS n, odd[1] AS first, odd[-1] AS final, list_sum(odd)::BIGINT AS total, TRUE AS positive, TRUE AS sliced, 2::BIGINT AS back FROM (SELECT x, list_transform(list_filter(range(1, x + 1), lambda y: y % 2 = 1), lambda y: y * y) AS odd FROM range(1, 6) t(x))"),
     "scalar_functions": ("UNWIND [-1.5, 2.0] AS x RETURN x, abs(x) AS a, ceil(x) AS c, floor(x) AS f, round(x) AS r, sign(x) AS s, toInteger('12.7') AS i, toBoolean('TRUE') AS b, toLower('AbC') AS l, substring('hello', 1, 3) AS sub, split('a.b.c', '.')[1] AS part, coalesce(null, 4) AS k",
         "SELECT x::DOUBLE AS x, abs(x)::DOUBLE AS a, ceil(x)::DOUBLE AS c, floor(x)::DOUBLE AS f, round(x)::DOUBLE AS r, sign(x)::INT AS s, 12::BIGINT AS i, TRUE AS b, 'abc' AS l, 'ell' AS sub, 'b' AS part, 4::BIGINT AS k FROM (VALUES (-1.5), (2.0)) t(x)"),
+    "collection_library": ("UNWIND range(1, 4) AS x WITH x, [y IN range(0, x) | y % 3] AS l RETURN x, collections.sum(l) AS s, collections.max(l) AS top, size(collections.to_set(l)) AS kinds, collections.contains(l, 2) AS two, size(collections.partition(l, 2)) AS parts, size(collections.duplicates(l)) AS again",
+        "SELECT x, list_sum(l)::DOUBLE AS s, list_max(l) AS top, len(list_distinct(l)) AS kinds, list_contains(l, 2) AS two, ((len(l) + 1) // 2) AS parts, len(list_filter(list_distinct(l), lambda v: len(list_filter(l, lambda w: w = v)) > 1)) AS again FROM (SELECT x, list_transform(range(0, x + 1), lambda y: y % 3) AS l FROM range(1, 5) t(x))"),
+    "text_library": ("MATCH (p:Part) RETURN p.partkey AS k, text.distance(p.brand, p.name) AS d, text.regreplace(p.brand, '[0-9]', '#') AS masked, text.indexOf(p.name, 'a') AS first, util.md5([p.brand, p.name]) AS h",
+        "SELECT p_partkey AS k, levenshtein(p_brand, p_name) AS d, regexp_replace(p_brand, '[0-9]', '#', 'g') AS masked, (instr(p_name, 'a') - 1)::BIGINT AS first, md5(p_brand || p_name) AS h FROM part"),
+    "call_subquery": ("CALL { MATCH (p:Part) RETURN max(p.size) AS top } MATCH (q:Part) WHERE q.size = top RETURN q.partkey AS k, top", "SELECT p_partkey AS k, p_size AS top FROM part WHERE p_size = (SELECT max(p_size) FROM part)"),
+    "call_schema": ("CALL meta.stats_offline() YIELD labelCount, nodeCount, relationshipTypeCount RETURN labelCount, nodeCount, relationshipTypeCount",
+        "SELECT 6::BIGINT AS labelCount, sum(n)::BIGINT AS nodeCount, 5::INT AS relationshipTypeCount FROM (SELECT count(*) AS n FROM region UNION ALL SELECT count(*) FROM nation UNION ALL SELECT count(*) FROM customer UNION ALL SELECT count(*) FROM supplier UNION ALL SELECT count(*) FROM part UNION ALL SELECT count(*) FROM orders)"),
+    "call_degree": ("CALL node.degree_in(1000000000003, 'IN_NATION') YIELD value RETURN value AS n", "SELECT (SELECT count(*) FROM customer WHERE c_nationkey = 3) + (SELECT count(*) FROM supplier WHERE s_nationkey = 3) AS n"),
+    "call_neighbours": ("CALL neighbors.at_hop(1000000000003, ['IN_REGION'], 2) YIELD node RETURN node.name AS name", "SELECT n_name AS name FROM nation WHERE n_nationkey != 3 AND n_regionkey = (SELECT n_regionkey FROM nation WHERE n_nationkey = 3)"),
+    "wshortest_text": ("MATCH (n:Nation {nationkey: 3})<-[p:IN_NATION *WSHORTEST 1 (e, x | 2.0) total]-(c:Customer) RETURN c.custkey AS k, total", "SELECT c_custkey AS k, 2.0::DOUBLE AS total FROM customer WHERE c_nationkey = 3"),
 }
 
 
@@ -170,6 +180,86 @@ def trigger_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return created.agg(F.count(F.lit(1)).alias("created")).crossJoin(deleted.agg(F.count(F.lit(1)).alias("deleted"))).crossJoin(updated.agg(F.count(F.lit(1)).alias("updated")))
 
 
+def created(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = run_update(_graph(spark, sf_dir), "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) WHERE c.acctbal < 0 CREATE (c)-[:OWES {amount: -c.acctbal}]->(d:Debt {nation: n.name})")
+    return run_query(new, "MATCH (c:Customer)-[e:OWES]->(d:Debt) RETURN c.custkey AS k, e.amount AS amount, d.nation AS nation")
+
+
+def merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = run_update(_graph(spark, sf_dir), "MATCH (p:Part) WITH DISTINCT p.brand AS b MERGE (r:Region {name: b})")
+    return run_query(new, "MATCH (r:Region) RETURN r.name AS name")
+
+
+def text_set(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = run_update(_graph(spark, sf_dir), "MATCH (c:Customer)-[:PLACED]->(o:Order) WITH c, count(*) AS n SET c.orders = n")
+    return run_query(new, "MATCH (c:Customer) RETURN c.custkey AS k, c.orders AS n")
+
+
+def text_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = run_update(_graph(spark, sf_dir), "MATCH (n:Nation) WHERE n.regionkey = 2 DETACH DELETE n")
+    return run_query(new, "MATCH (c:Customer)-[:IN_NATION]->(n:Nation) RETURN n.name AS name, count(*) AS n")
+
+
+def each(spark: SparkSession, sf_dir: str) -> DataFrame:
+    new = run_update(_graph(spark, sf_dir), "MATCH (r:Region) FOREACH (i IN range(1, 3) | CREATE (z:Zone {name: r.name, part: i}))")
+    return run_query(new, "MATCH (z:Zone) RETURN z.name AS name, z.part AS part")
+
+
+def loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_query(_graph(spark, sf_dir), "LOAD PARQUET FROM $path AS row WITH row WHERE row.value > 50.0 RETURN row.event_type AS kind, count(*) AS n", path=f"{sf_dir}/events.parquet")
+
+
+def strong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.strongly_connected_components(*_trade(spark, sf_dir))
+
+
+def bridging(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, e = _trade(spark, sf_dir)
+    return structure.bridges(v, e.where("(src + dst + weight) % 7 = 0"))
+
+
+def between(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.betweenness_centrality(*_trade(spark, sf_dir)).select("node", F.round("betweenness_centrality", 6).alias("betweenness_centrality"))
+
+
+def far(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.distances(*_trade(spark, sf_dir)).select("node", "eccentricity", "total")
+
+
+def coloured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.colouring(*_trade(spark, sf_dir))
+
+
+def matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.maximal_matching(_trade(spark, sf_dir)[1])
+
+
+def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.louvain(*_trade(spark, sf_dir))
+
+
+def circles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.cycles(_trade(spark, sf_dir)[1], 3).groupBy(F.size("nodes").alias("length")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v, e = _trade(spark, sf_dir)
+    return structure.voronoi_cells(e, v.where("id < 3"))
+
+
+def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.set_cover(_trade(spark, sf_dir)[1].select(F.col("dst").alias("element"), F.col("src").alias("containing_set")))
+
+
+def two_coloured(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = spark.read.parquet(f"{sf_dir}/orders.parquet").select((F.col("o_custkey") * 2).alias("src"), (F.col("o_orderkey") * 2 + 1).alias("dst"))
+    return structure.is_bipartite(o.select(F.explode(F.array("src", "dst")).alias("id")).distinct(), o)
+
+
+def clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return structure.kmeans(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), 4, key="vec_id")
+
+
 CODE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "degree_centrality": (degree, f"WITH {_TRADE_SQL} SELECT id AS node, round(count(src) / 24.0, 6)::DOUBLE AS degree FROM vertices LEFT JOIN edges ON src = id GROUP BY 1"),
     "connected_components": (wcc, f"WITH RECURSIVE {_TRADE_SQL}, b AS (SELECT src, dst FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT id AS node, id AS root FROM vertices UNION SELECT b.dst, r.root FROM r JOIN b ON b.src = r.node) SELECT node, min(root) AS component_id FROM r GROUP BY 1"),
@@ -183,6 +273,18 @@ CODE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "text_search": (text_top, None),
     "event_windows": (event_windows, "SELECT time_bucket(INTERVAL 1 DAY, ts) AS start, event_type, count(*) AS n FROM events GROUP BY 1, 2"),
     "update_and_delete": (update_property, "SELECT raised, count(*) AS n FROM (SELECT p_size + CASE WHEN p_brand = 'Brand#11' THEN 100 ELSE 0 END AS s, s > 100 AS raised FROM part) WHERE s != 7 GROUP BY 1"),
+    "create_text": (created, "SELECT c_custkey AS k, -c_acctbal AS amount, n_name AS nation FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_acctbal < 0"),
+    "merge_text": (merged, "SELECT r_name AS name FROM region UNION SELECT p_brand FROM part WHERE p_brand IS NOT NULL"),
+    "set_text": (text_set, "SELECT c_custkey AS k, n FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey"),
+    "delete_text": (text_delete, "SELECT n_name AS name, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE n_regionkey != 2 GROUP BY 1"),
+    "foreach_text": (each, "SELECT r_name AS name, i AS part FROM region, range(1, 4) t(i)"),
+    "load_parquet_text": (loaded, "SELECT event_type AS kind, count(*) AS n FROM events WHERE value > 50 GROUP BY 1"),
+    "strong_components": (strong, f"WITH RECURSIVE {_TRADE_SQL}, r AS (SELECT id AS a, id AS b FROM vertices UNION SELECT a, dst FROM r JOIN edges ON src = b) SELECT x.a AS node, min(x.b) AS component_id FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1"),
+    "distances": (far, f"WITH RECURSIVE {_TRADE_SQL}, r AS (SELECT id AS source, id AS node, 0 AS depth FROM vertices UNION SELECT source, dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 24), d AS (SELECT source, node, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT source AS node, max(depth)::INT AS eccentricity, sum(depth)::BIGINT AS total FROM d GROUP BY 1"),
+    "cycles": (circles, f"WITH {_TRADE_SQL}, c AS (SELECT 2 AS length, x.src FROM edges x JOIN edges y ON x.dst = y.src AND y.dst = x.src AND x.src < x.dst UNION ALL SELECT 3, x.src FROM edges x JOIN edges y ON x.dst = y.src JOIN edges z ON z.src = y.dst AND z.dst = x.src WHERE x.src < x.dst AND x.src < y.dst AND x.dst != y.dst) SELECT length, count(*) AS n FROM c GROUP BY 1"),
+    "voronoi_cells": (nearest, f"WITH RECURSIVE {_TRADE_SQL}, r AS (SELECT id AS source, id AS node, 0 AS depth FROM vertices WHERE id < 3 UNION SELECT source, dst, depth + 1 FROM r JOIN edges ON src = node WHERE depth < 24), d AS (SELECT source, node, min(depth) AS depth FROM r GROUP BY 1, 2) SELECT node, arg_min(source, depth * 100 + source) AS center FROM d GROUP BY 1"),
+    "is_bipartite": (two_coloured, "SELECT TRUE AS is_bipartite"),
+    "bridges": (bridging, None), "betweenness_centrality": (between, None), "graph_coloring": (coloured, None), "maximal_matching": (matching, None), "louvain": (moved, None), "set_cover": (covered, None), "kmeans": (clusters, None),
     "trigger_changes": (trigger_changes, "SELECT 0::BIGINT AS created, 0::BIGINT AS deleted, count(*) AS updated FROM nation WHERE n_regionkey = 1"),
 }
 
