@@ -184,7 +184,7 @@ def louvain(vertices: DataFrame, edges: DataFrame, passes: int = 3, rounds: int
         near = cut(both_ways(graph.where("src != dst")))
         k = cut(graph.select(F.explode(F.array("src", "dst")).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("k")))
         at = k.select("node", "k", F.col("node").alias("c"))
-        moved = False
+        moved, idle = False, 0
         for turn in range(rounds):
             sums = at.groupBy("c").agg(F.sum("k").alias("total"))
             links = near.join(at.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum("w").alias("inner"))
@@ -196,8 +196,10 @@ def louvain(vertices: DataFrame, edges: DataFrame, passes: int = 3, rounds: int
             mine = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
             new = cut(best.select("node", "k", "old", F.when(mine, -F.col("b.m")).otherwise(F.col("old")).alias("c")))
             at = new.select("node", "k", "c")
-            if not new.where("old != c").isEmpty():
-                moved = True
+            idle = idle + 1 if new.where("old != c").isEmpty() else 0
+            moved = moved or not idle
+            if idle == 2:  # neither half moves
+                break
         if not moved:
             break
         names = cut(at.groupBy("c").agg(F.min("node").alias("name")).join(at.select("node", "c"), "c").select("node", "name"))

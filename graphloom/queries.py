@@ -235,7 +235,7 @@ def matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def moved(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return structure.louvain(*_trade(spark, sf_dir))
+    return structure.louvain(*_trade(spark, sf_dir), passes=2, rounds=4)
 
 
 def circles(spark: SparkSession, sf_dir: str) -> DataFrame:
