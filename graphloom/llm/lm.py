@@ -33,9 +33,9 @@ from pyspark.sql import types as T
 
 from .common import stored
 
-OUTPUTS, SHAPES, CONTEXT, DIMENSION = 512, 128, 2, 24
+OUTPUTS, SHAPES, CONTEXT, DIMENSION = 512, 256, 3, 24
 BUCKET_CHARS = 8_000_000
-TRAIN_EVERY, PASSES, NOISE, RATE, BATCH = 8, 1, 12, 0.1, 512
+TRAIN_EVERY, PASSES, NOISE, RATE, BATCH = 8, 2, 12, 0.1, 512
 END = b"\n"  # no word holds it
 
 
@@ -78,60 +78,69 @@ def fresh(n: int, logs: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     }
 
 
+def _summed(places: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
+    """(n, columns): the sum of the values of each place. 16-bit places sort by radix."""
+    order = np.argsort(places, kind="stable")
+    own = places[order]
+    heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
+    out = np.zeros((n, values.shape[1]), dtype=values.dtype)
+    out[own[heads]] = np.add.reduceat(np.take(values, order, axis=0), heads, axis=0)
+    return out
+
+
 def train_nce(w: dict[str, np.ndarray], codes: np.ndarray, contexts: np.ndarray, noise: np.ndarray, seed: int) -> dict[str, np.ndarray]:
-    """One pass of noise-contrastive AdaGrad steps; noise is the classes' unigram distribution."""
-    rng, w = np.random.default_rng(seed), {k: v.copy() for k, v in w.items()}
+    """One pass of noise-contrastive AdaGrad steps in 32-bit floats; noise is the classes' unigram distribution."""
+    real = np.float32
+    rng, w = np.random.default_rng(seed), {k: v.astype(real) for k, v in w.items()}
     seen = {k: np.full_like(v, 0.1) for k, v in w.items()}
-    order, log_noise = rng.permutation(len(codes)), np.log(NOISE * noise)
+    order, log_noise, n = rng.permutation(len(codes)), np.log(NOISE * noise).astype(real), len(noise)
     cumulative = np.cumsum(noise)
     for at in range(0, len(order), BATCH):
         own = order[at : at + BATCH]
-        ctx, size = contexts[own], len(own)
-        fake = np.minimum(np.searchsorted(cumulative, rng.random((size, NOISE)) * cumulative[-1]), len(noise) - 1)
-        picked = np.concatenate([codes[own][:, None], fake], axis=1)
-        r = w["r"][ctx]
+        ctx, size = contexts[own].astype(np.int16), len(own)
+        fake = np.minimum(np.searchsorted(cumulative, rng.random((size, NOISE)) * cumulative[-1]), n - 1)
+        picked = np.concatenate([codes[own][:, None], fake], axis=1).astype(np.int16)
+        r = np.take(w["r"], ctx, axis=0)
         p = (r * w["c"]).sum(1)
-        q = w["q"][picked]
-        delta = 1 / (1 + np.exp(-np.clip(np.einsum("bd,bkd->bk", p, q) + w["b"][picked] - log_noise[picked], -30, 30)))
+        q = np.take(w["q"], picked, axis=0)
+        delta = 1 / (1 + np.exp(-np.clip(np.matmul(q, p[:, :, None])[:, :, 0] + np.take(w["b"] - log_noise, picked), -30, 30)))
         delta[:, 0] -= 1
-        dp = np.einsum("bk,bkd->bd", delta, q)
-        dq = delta[:, :, None] * p[:, None, :]
-        flat = picked.ravel()
-        one = np.zeros((len(noise), DIMENSION + 1))
-        sums = np.concatenate([dq.reshape(-1, DIMENSION), delta.reshape(-1, 1)], axis=1)
-        rows = np.argsort(flat, kind="stable")
-        heads = np.flatnonzero(np.r_[True, flat[rows][1:] != flat[rows][:-1]])
-        one[flat[rows][heads]] = np.add.reduceat(sums[rows], heads)
-        dr = dp[:, None, :] * w["c"]
-        grad = {"q": one[:, :DIMENSION] / size, "b": one[:, DIMENSION] / size, "c": (r * dp[:, None, :]).sum(0) / size, "r": np.zeros_like(w["r"])}
-        np.add.at(grad["r"], ctx.ravel(), dr.reshape(-1, DIMENSION) / size)
+        dp = np.matmul(delta[:, None, :], q)[:, 0]
+        sides = np.concatenate([p, np.ones((size, 1), dtype=real)], axis=1)  # the last column is for the bias
+        one = _summed(picked.ravel(), (delta[:, :, None] * sides[:, None, :]).reshape(-1, DIMENSION + 1), n) / size
+        dr = dp[:, None, :] * (w["c"] / real(size))
+        grad = {"q": one[:, :DIMENSION], "b": one[:, DIMENSION], "c": (r * dp[:, None, :]).sum(0) / size, "r": _summed(ctx.ravel(), dr.reshape(-1, DIMENSION), n + 1)}
         for k in w:
-            g = grad[k] * size ** 0.5
+            g = grad[k] * real(size ** 0.5)
             seen[k] += g * g
-            w[k] -= RATE * g / np.sqrt(seen[k])
+            w[k] -= real(RATE) * g / np.sqrt(seen[k])
     return w
 
 
-def log_normalised(w: dict[str, np.ndarray], contexts: np.ndarray, codes: np.ndarray, rows: int = 4096) -> np.ndarray:
-    """log10 P(class | context) for each place; equal (context) rows are normalised once."""
+def log_normalised(w: dict[str, np.ndarray], contexts: np.ndarray, codes: np.ndarray, rows: int = 512) -> np.ndarray:
+    """log10 P(class | context) for each place; equal (context) rows are normalised once. Contexts may have fewer places than the model."""
     if not len(codes):
         return np.zeros(0)
     n = len(w["b"]) + 1
-    packed = contexts @ np.array([n**k for k in range(CONTEXT)])
+    places = contexts.shape[1]
+    packed = contexts @ np.array([n**k for k in range(places)])
     order = np.argsort(packed, kind="stable")
     heads = np.flatnonzero(np.r_[True, packed[order][1:] != packed[order][:-1]])
     group = np.empty(len(codes), dtype=np.int64)
     group[order] = np.cumsum(np.r_[0, packed[order][1:] != packed[order][:-1]])
     own = contexts[order[heads]]
-    q, b, out = w["q"].T.astype(np.float32), w["b"].astype(np.float32), np.empty(len(codes))
+    r, c, q, b = (x.astype(np.float32) for x in (w["r"], w["c"][:places], w["q"].T, w["b"]))
+    out = np.empty(len(codes))
     bounds = np.r_[heads, len(codes)]
     for at in range(0, len(own), rows):
-        p = (w["r"][own[at : at + rows]] * w["c"]).sum(1).astype(np.float32)
-        s = p @ q + b
-        s -= s.max(1, keepdims=True)
-        s -= np.log(np.exp(s).sum(1, keepdims=True))
-        places = order[bounds[at] : bounds[min(at + rows, len(own))]]
-        out[places] = s[group[places] - at, codes[places]]
+        p = (r[own[at : at + rows]] * c).sum(1)
+        z = p @ q + b
+        inside = order[bounds[at] : bounds[min(at + rows, len(own))]]
+        mine = group[inside] - at
+        own_z, top = z[mine, codes[inside]], z.max(1, keepdims=True)
+        z -= top
+        np.exp(z, out=z)
+        out[inside] = own_z - (top[:, 0] + np.log(z.sum(1)))[mine]
     return out / math.log(10)
 
 
@@ -174,12 +183,23 @@ def _counted(rows: DataFrame) -> DataFrame:
     return rows.groupBy("bucket").applyInArrow(run, "bucket bigint, token binary, n bigint")
 
 
+def _coded(rows: DataFrame, classes: Classes) -> DataFrame:
+    """(bucket, codes): the 16-bit classes of each document's tokens, so that the passes neither split texts again nor shuffle them."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            memo: dict[bytes, int] = {}
+            codes = [classes.codes(tokens_of(t.as_py()), memo).astype("<i2").tobytes() for t in batch.column("text")]
+            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(codes, pa.binary())], names=["bucket", "codes"])
+
+    return rows.select("bucket", "text").mapInArrow(run, "bucket bigint, codes binary")
+
+
 def _fit(begun: dict[str, np.ndarray], classes: Classes, noise: np.ndarray, seed: int) -> Callable[[pa.Table], pa.Table]:
     """For a bucket's documents: the parameters after a pass from begun, each times the bucket's tokens, and these."""
     def fit(table: pa.Table) -> pa.Table:
-        memo: dict[bytes, int] = {}
-        codes = [classes.codes(tokens_of(t.as_py()), memo) for t in table.column("text")]
-        done = train_nce(begun, np.concatenate(codes), np.concatenate([contexts_of(c, classes.start) for c in codes]), noise, seed)
+        codes = [np.frombuffer(x.as_py(), dtype="<i2") for x in table.column("codes")]
+        contexts = np.concatenate([contexts_of(c, classes.start).astype(np.int16) for c in codes])
+        done = train_nce(begun, np.concatenate(codes), contexts, noise, seed)
         size, flat = sum(map(len, codes)), np.array(_parts(done))
         return pa.table({"place": pa.array(np.arange(len(flat))), "value": pa.array(flat * size), "size": pa.array(np.full(len(flat), size))})
 
@@ -210,9 +230,9 @@ def score_documents(docs: DataFrame) -> DataFrame:
     noise = (class_n + 1) / (class_n + 1).sum()
     weights = fresh(classes.n, np.log(noise))
 
+    coded = stored(_coded(rows.where(~F.col("out") & (F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(TRAIN_EVERY)) == 0)), classes))
     for turn in range(PASSES):
-        picked = rows.where(~F.col("out") & (F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(TRAIN_EVERY)) == 0))
-        fitted = picked.groupBy("bucket").applyInArrow(_fit(weights, classes, noise, 11 + turn), "place bigint, value double, size bigint")
+        fitted = coded.groupBy("bucket").applyInArrow(_fit(weights, classes, noise, 11 + turn), "place bigint, value double, size bigint")
         found = fitted.groupBy("place").agg((F.sum("value") / F.sum("size")).alias("value")).toArrow()  # as many rows as the model has parameters
         if found.num_rows:
             flat = np.empty(found.num_rows)

@@ -193,6 +193,19 @@ def test_lm_normalised():
         assert (10**logs).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_learns_from_the_third_place():
+    # the class after (x, 6, 7) is x: only the third place before it tells which
+    assert lm.PASSES == 2 and len({lm.Classes([]).of(bytes([i, j])) for i in range(256) for j in range(256)}) == 256
+    rnd = np.random.default_rng(3)
+    codes = np.concatenate([[x, 6, 7, x] for x in rnd.integers(0, 6, 12000)])
+    noise = (np.bincount(codes, minlength=8) + 1) / (len(codes) + 8)
+    w, contexts = lm.fresh(8, np.log(noise)), lm.contexts_of(codes, 8)
+    for turn in range(lm.PASSES):
+        w = lm.train_nce(w, codes, contexts, noise, turn)
+    last = np.arange(3, len(codes), 4)
+    assert 10 ** lm.log_normalised(w, contexts[last], codes[last]).mean() > 0.5  # 1/6 by chance
+
+
 def test_personal_data(spark, docs):
     got = {r.doc_id: [(s.kind, s.start) for s in r.base] for r in pii.personal_spans(docs).collect()}
     assert got[9] == [("email", 5), ("ip", 55), ("card", 34), ("phone", 15)] or [k for k, _ in got[9]] == ["email", "ip", "card", "phone"]
