@@ -7,9 +7,9 @@ place, add up to a prediction whose product with every class vector, plus a bias
 product per batch of distinct contexts. P(token | class) = (c + 1) / (N_class + V_class + 1) from the training counts, where
 the 1 is for all unseen spellings of the class. So probabilities of a place add up to one.
 
-The counts cover all training documents. Training reads every training document too: each bucket of documents
-takes noise-contrastive steps on one of TRAIN_EVERY documents (by hash, so it grows with the input) from the same
-start, and the buckets' parameters are averaged by Spark, weighted by their tokens; PASSES such rounds.
+The counts and the training cover all training documents: each bucket of documents takes noise-contrastive steps on every
+token of its training documents from the same start, and the buckets' parameters are averaged by Spark, weighted by their
+tokens; PASSES such rounds, each from the averages of the one before.
 
 Documents are dealt over buckets of about BUCKET_CHARS characters. A bucket's distinct tokens fetch their counts by one
 shuffled join, so no vocabulary is held whole in any process.
@@ -35,7 +35,7 @@ from .common import stored
 
 OUTPUTS, SHAPES, CONTEXT, DIMENSION = 512, 256, 3, 24
 BUCKET_CHARS = 8_000_000
-TRAIN_EVERY, PASSES, NOISE, RATE, BATCH = 8, 2, 12, 0.1, 512
+PASSES, NOISE, RATE, BATCH = 2, 12, 0.1, 512
 END = b"\n"  # no word holds it
 
 
@@ -230,7 +230,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     noise = (class_n + 1) / (class_n + 1).sum()
     weights = fresh(classes.n, np.log(noise))
 
-    coded = stored(_coded(rows.where(~F.col("out") & (F.pmod(F.xxhash64("doc_id", F.lit("train")), F.lit(TRAIN_EVERY)) == 0)), classes))
+    coded = stored(_coded(rows.where(~F.col("out")), classes))
     for turn in range(PASSES):
         fitted = coded.groupBy("bucket").applyInArrow(_fit(weights, classes, noise, 11 + turn), "place bigint, value double, size bigint")
         found = fitted.groupBy("place").agg((F.sum("value") / F.sum("size")).alias("value")).toArrow()  # as many rows as the model has parameters

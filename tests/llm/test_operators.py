@@ -193,6 +193,15 @@ def test_lm_normalised():
         assert (10**logs).sum() == pytest.approx(1, abs=1e-5)
 
 
+def test_lm_trains_on_every_training_document(spark):
+    # whichever single row is the training table, its phrase is learnt: the model then beats the unigram score
+    held = lambda i: zlib.crc32(str(i).encode()) % 7 == 2
+    for i in [k for k in range(12) if not held(k)][:4]:
+        one = spark.createDataFrame([(i, "tick tack tock tuck " * 3000)], "doc_id bigint, text string")
+        row = lm.score_documents(one).first()
+        assert row.score > row.base_score + 0.3 * row.n_tokens, i
+
+
 def test_lm_learns_from_the_third_place():
     # the class after (x, 6, 7) is x: only the third place before it tells which
     assert lm.PASSES == 2 and len({lm.Classes([]).of(bytes([i, j])) for i in range(256) for j in range(256)}) == 256
