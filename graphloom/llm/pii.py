@@ -1,10 +1,10 @@
 """Personal data by bootstrapped contextual extraction, in DataFrame functions only.
 
 Seeds are the base kinds' matches. Every word with a digit or an at sign is an instance; the word before it is its lexical
-pattern. A pattern's confidence for a kind is the number of distinct known instances of that kind behind it over the number of
-times that its word occurs in the whole corpus before anything. Patterns with SUPPORT instances and CONFIDENCE label
-the other instances behind them that have DIGITS digits; labelled instances count as known in the next round, for ROUNDS rounds or until
-nothing new appears.
+pattern. A pattern's confidence for a kind is the number of known occurrences of that kind behind it over the number of
+times that its word occurs in the whole corpus before anything, both in all rows, copies included. Patterns with SUPPORT distinct known
+instances and CONFIDENCE label the other instances behind them that have DIGITS digits; labelled instances count as known in the next
+round, until nothing new appears.
 
 Offsets: a text split by an expression and the matches of the same expression alternate; a running sum of their lengths gives
 each match's place, in code points. Only matches are shuffled. Nested repetitions are written as plain classes over a text in
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import ascii_lower, stored
 
 KINDS = ("email", "ip", "card", "phone")
-SUPPORT, CONFIDENCE, DIGITS, ROUNDS = 3, 0.5, 4, 3
+SUPPORT, CONFIDENCE, DIGITS = 3, 0.5, 4
 MAX_BROADCAST = 200_000
 _BLANK = r"[\x20\x09-\x0D]+"
 _WORD = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D0-9@]*+[0-9@][^\x20\x09-\x0D]*+"
@@ -110,12 +110,16 @@ def find_personal_data(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     instances = stored(met.groupBy("key", "gap", "value", "start", "end").agg(F.min("base").alias("base"), F.coalesce(F.min("match"), F.col("value")).alias("whole")))
     busy = instances.groupBy("gap").agg(F.countDistinct("whole").alias("n")).where(F.col("n") >= SUPPORT).select("gap")
     totals = stored(_word_counts(docs, busy))
-    known = instances.withColumn("label", F.col("base"))
+    # rows that repeat share a key: each of their instances stands for as many occurrences
+    copies = docs.groupBy(_key(docs).alias("key")).agg(F.count(F.lit(1)).alias("copies")).where("copies > 1")
+    known = stored(instances.join(copies, "key", "left").withColumns({"copies": F.coalesce("copies", F.lit(1)), "label": F.col("base")}))
     size = -1
-    for _ in range(ROUNDS):
+    while True:
+        # first by value: a hot word's values are dealt out before they are counted by word
+        values = known.where("label IS NOT NULL").groupBy("gap", "label", "whole").agg(F.sum("copies").alias("n"))
         scored = (
-            known.where("label IS NOT NULL").groupBy("gap", "label").agg(F.countDistinct("whole").alias("f"))
-            .join(totals, "gap").where((F.col("f") >= SUPPORT) & (F.col("f") >= F.col("total") * CONFIDENCE))
+            values.groupBy("gap", "label").agg(F.count(F.lit(1)).alias("support"), F.sum("n").alias("f"))
+            .join(totals, "gap").where((F.col("support") >= SUPPORT) & (F.col("f") >= F.col("total") * CONFIDENCE))
             .groupBy("gap").agg(F.max(F.struct("f", "label")).alias("best")).select("gap", F.col("best.label").alias("found"))
         )
         fits = (F.length(_digits(F.col("value"))) >= DIGITS) | F.contains("value", F.lit("@"))

@@ -223,3 +223,13 @@ def test_personal_data(spark, docs):
     found = {r.doc_id: [s.kind for s in r.spans] for r in pii.personal_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
     assert found[30] == ["phone"]  # no base kind has it; its context does
     assert pii.personal_spans(empty(docs)).count() == 0
+
+
+def test_personal_data_in_copies(spark):
+    # copies of a document and rows that repeat count on both sides: every word tel: has a phone behind it
+    rows = [(i, f"ring tel: +1 (017) 555-77{i:02d} now") for i in range(10, 16)] + [(100 + i, "ring tel: +1 (017) 555-7710 now") for i in range(40)]
+    rows += [(90, "ring tel: +1 (017) 555-7711 now")] * 20 + [(30, "ring tel: 017-555-1234 now")]
+    # a word with a phone behind it in fewer than half of its occurrences stays out
+    rows += [(200 + i, f"ring desk +1 (017) 555-78{i:02d} now") for i in range(10, 15)] + [(300 + i, "a desk is here") for i in range(10)] + [(31, "ring desk 017-555-4321 now")]
+    found = {r.doc_id: [s.kind for s in r.spans] for r in pii.personal_spans(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert found[30] == ["phone"] and found[31] == []
