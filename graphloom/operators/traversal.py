@@ -40,17 +40,24 @@ def reach(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) ->
     return seen
 
 
-def trails(edges: DataFrame, sources: DataFrame, low: int = 1, high: int = 2) -> DataFrame:
-    """(source, node, rels, nodes): every path of low to high edges that repeats no edge. Unrolled joins; high bounds the work."""
+def trails(edges: DataFrame, sources: DataFrame, low: int = 1, high: int | None = 2) -> DataFrame:
+    """(source, node, rels, nodes): every path of low to high edges that repeats no edge. Unrolled joins; without high a loop until no path goes on."""
     front = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.array().cast("array<bigint>").alias("rels"), F.array("id").alias("nodes"))
-    out = front if low == 0 else None
+    out, hop = front.where(F.lit(low == 0)), 0
     steps = edges.select(F.col("id").alias("e"), "src", "dst")
-    for hop in range(1, high + 1):
+    if high is None:
+        front, steps = cut(front), cut(steps)
+    while high is None or hop < high:
+        hop += 1
         front = front.join(steps, (front["node"] == steps["src"]) & ~F.array_contains("rels", F.col("e"))).select(
             "source", F.col("dst").alias("node"), F.concat("rels", F.array("e")).alias("rels"), F.concat("nodes", F.array("dst")).alias("nodes")
         )
+        if high is None:
+            front = cut(front)
+            if front.isEmpty():
+                break
         if hop >= low:
-            out = front if out is None else out.unionByName(front)
+            out = out.unionByName(front)
     return out
 
 

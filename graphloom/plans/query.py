@@ -322,10 +322,10 @@ class Compiler(Reader):
             weighed = table.select("src", "dst", F.struct("*").alias(each)).select("src", "dst", F.expr(sql).alias("weight"))
             found = weighted_shortest(weighed, starts, None if high < 0 else high).where(F.size("path") > 1)
             return found.select(F.col("source").alias(f"{key}src"), F.col("node").alias(f"{key}dst"), F.col("path").alias(rel.var), F.col("weight").alias(total))
-        if rel.breadth_first or high < 0:
+        if rel.breadth_first:
             found = reach(table, starts, None if high < 0 else high).where(F.col("depth") >= low)
             return found.select(F.col("source").alias(f"{key}src"), F.col("node").alias(f"{key}dst"), F.col("depth").alias(rel.var))
-        return trails(table, starts, low, high).select(F.col("source").alias(f"{key}src"), F.col("node").alias(f"{key}dst"), F.col("rels").alias(rel.var))
+        return trails(table, starts, low, None if high < 0 else high).select(F.col("source").alias(f"{key}src"), F.col("node").alias(f"{key}dst"), F.col("rels").alias(rel.var))
 
     def _match(self, scope: Scope, begun: bool, optional: bool) -> Scope:
         patterns = [self._pattern()]

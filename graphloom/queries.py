@@ -45,6 +45,8 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)"),
     "var_length": ("MATCH (c:Customer)-[e*1..2]->(x:Region) RETURN x.name AS region, count(*) AS n",
         "SELECT r_name AS region, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
+    "var_length_open": ("MATCH (c:Customer)-[e:PLACED|CONTAINS*]->(p:Part) RETURN p.partkey AS k, count(*) AS n",
+        "SELECT p_partkey AS k, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1"),
     "bfs_depth": ("MATCH (s:Supplier)-[d:IN_NATION|IN_REGION *BFS ..2]->(x) RETURN d AS depth, count(*) AS n",
         "SELECT 1 AS depth, count(*) AS n FROM supplier UNION ALL SELECT 2, count(*) FROM supplier"),
     "order_skip_limit": ("MATCH (p:Part) RETURN p.partkey AS k, p.retailprice AS price ORDER BY p.retailprice DESC, p.partkey SKIP 5 LIMIT 10",

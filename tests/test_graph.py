@@ -46,6 +46,23 @@ def bfs_graph(spark):
     return spark.range(6).select("id"), e
 
 
+def test_open_length_gives_every_trail(spark):
+    # 0 -> 1 -> 2 -> 0 and 0 -> 2: two ways to 2, and trails back to the start
+    edges = spark.createDataFrame([(10, 0, 1), (11, 1, 2), (12, 2, 0), (13, 0, 2)], "id bigint, src bigint, dst bigint")
+    got = sorted((r.node, r.rels) for r in P.trails(edges, spark.createDataFrame([(0,)], "id bigint"), 1, None).collect())
+    ends, todo, want = {i: (a, b) for i, a, b in edges.collect()}, [(0, [])], []
+    while todo:
+        node, rels = todo.pop()
+        more = [(b, [*rels, i]) for i, (a, b) in ends.items() if a == node and i not in rels]
+        want, todo = want + more, todo + more
+    assert got == sorted(want) and sum(n == 2 for n, _ in got) > 1 and any(n == 0 for n, _ in got)
+    nodes = spark.createDataFrame([(i,) for i in range(3)], "id bigint")
+    graph = Graph(spark, {"N": nodes}, (Rel("E", "N", "N", edges),))
+    for low in (1, 2):
+        rows = run_query(graph, f"MATCH (a:N)-[e*{low}..]->(b:N) WHERE a.id = 0 RETURN b.id AS b, e").collect()
+        assert sorted((r.b, r.e) for r in rows) == sorted((n, r) for n, r in want if len(r) >= low)
+
+
 def test_reach_and_trails(spark, bfs_graph):
     _, e = bfs_graph
     start = spark.createDataFrame([(0,)], "id bigint")
