@@ -86,7 +86,7 @@ PROCEDURES: dict[str, Callable[..., DataFrame]] = {
     "betweenness_centrality.get": _whole(lambda v, e, directed=True, normalized=True: S.betweenness_centrality(v, e, directed, normalized)),
     "katz_centrality.get": _whole(A.katz_centrality), "hits.get": _whole(A.hits),
     "weakly_connected_components.get": _whole(A.weakly_connected_components), "wcc.get_components": _whole(A.weakly_connected_components),
-    "community_detection.get": _whole(lambda v, e: S.louvain(v, e)), "bridges.get": _whole(S.bridges), "cycles.get": _edges(S.cycles),
+    "community_detection.get": _whole(lambda v, e: S.louvain(v, e)), "bridges.get": _whole(S.bridges), "cycles.get": _edges(lambda e: S.cycles(e, directed=False)),
     "graph_coloring.color_graph": _whole(S.colouring), "union_find.connected": _connected,
     "node_similarity.jaccard": _edges(lambda e: A.neighbour_similarity(e, "jaccard")), "node_similarity.overlap": _edges(lambda e: A.neighbour_similarity(e, "overlap")),
     "graph_util.topological_sort": _whole(A.topological_sort), "igraphalg.topological_sort": _whole(A.topological_sort),

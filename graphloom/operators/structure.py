@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .algorithms import weakly_connected_components
-from .traversal import both_ways, cut, reach, trails
+from .traversal import both_ways, cut, reach
 
 
 def _plain(edges: DataFrame) -> DataFrame:
@@ -155,12 +155,24 @@ def maximal_matching(edges: DataFrame) -> DataFrame:
     return out if out is not None else left.select("src", "dst")
 
 
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """(cycle_id, nodes): directed simple cycles of at most so many edges, each once, from its least node."""
-    steps = edges.select(F.monotonically_increasing_id().alias("id"), "src", "dst") if "id" not in edges.columns else edges
-    found = trails(steps, steps.select(F.col("src").alias("id")).distinct(), 1, longest).where("source = node")
-    inner = F.slice("nodes", 1, F.size("nodes") - 1)
-    return found.select(inner.alias("nodes")).where((F.size(F.array_distinct("nodes")) == F.size("nodes")) & (F.array_min("nodes") == F.col("nodes")[0])).distinct().select(F.xxhash64("nodes").alias("cycle_id"), "nodes")
+def cycles(edges: DataFrame, longest: int | None = None, directed: bool = True) -> DataFrame:
+    """(cycle_id, nodes): simple cycles, each once, from its least node; of at most so many edges, or else of any length.
+
+    A path goes on to greater nodes than its first only. Undirected cycles have three edges or more and go round towards the lesser neighbour.
+    """
+    steps = cut((edges if directed else both_ways(edges)).select("src", "dst").distinct())
+    front, out, hop = cut(steps.select(F.col("src").alias("node")).distinct().select("node", F.array("node").alias("nodes"))), None, 0
+    while longest is None or hop < longest:
+        hop += 1
+        moved = cut(front.join(steps, front["node"] == steps["src"]).where((F.col("dst") == F.col("nodes")[0]) | ((F.col("dst") > F.col("nodes")[0]) & ~F.array_contains("nodes", F.col("dst")))).select("dst", "nodes"))
+        closed = moved.where(F.col("dst") == F.col("nodes")[0])
+        if not directed:
+            closed = closed.where((F.size("nodes") > 2) & (F.try_element_at("nodes", F.lit(2)) < F.element_at("nodes", -1)))
+        out = closed.select("nodes") if out is None else out.unionByName(closed.select("nodes"))
+        front = moved.where(F.col("dst") != F.col("nodes")[0]).select(F.col("dst").alias("node"), F.concat("nodes", F.array("dst")).alias("nodes"))
+        if front.isEmpty():
+            break
+    return out.select(F.xxhash64("nodes").alias("cycle_id"), "nodes")
 
 
 def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:

@@ -135,3 +135,9 @@ def test_communities_and_cover(spark):
     assert sorted(r.nodes for r in S.cycles(loop).collect()) == [[0, 1], [0, 1, 2]]
     assert {r.node: r.center for r in S.voronoi_cells(loop, spark.createDataFrame([(2,)], "id bigint")).collect()} == {0: 2, 1: 2, 2: 2}
     assert S.bridges(v.limit(0), e.limit(0)).count() == 0 and S.strongly_connected_components(v.limit(0), e.limit(0)).count() == 0
+
+
+def test_cycles_of_any_length(spark):
+    ring = spark.createDataFrame([(i, (i + 1) % 6) for i in range(6)] + [(2, 0), (6, 5)], "src bigint, dst bigint")
+    assert sorted(r.nodes for r in S.cycles(ring).collect()) == [[0, 1, 2], [0, 1, 2, 3, 4, 5]]
+    assert sorted(r.nodes for r in S.cycles(ring, directed=False).collect()) == [[0, 1, 2], [0, 1, 2, 3, 4, 5], [0, 2, 3, 4, 5]]
