@@ -132,8 +132,8 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> t
     return marks, matches
 
 
-def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, hit_share: float = 0.05) -> DataFrame:
-    """Per document row: doc_id, key, n_words, n_hit, item_ids (sorted as strings), contaminated."""
+def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, per_hit: int = 20) -> DataFrame:
+    """Per document row: doc_id, key, n_words, n_hit, item_ids (sorted as strings), contaminated (a hit for every per_hit words or fewer)."""
     marks, matches = phrase_matches(docs, items, window)
     hits = matches.select("key", "item_id", F.explode(F.sequence(F.col("first"), F.col("first") + F.col("size") - 1)).alias("at"))
     words = hits.groupBy("key").agg(F.countDistinct("at").alias("n_hit"))
@@ -143,15 +143,14 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, hit_s
     return marks.join(found, "key", "left").select(
         F.col("key.doc_id").alias("doc_id"), "key", "n_words", n_hit.alias("n_hit"),
         F.coalesce("item_ids", F.array().cast("array<string>")).alias("item_ids"),
-        ((n_hit > 0) & (n_hit >= F.col("n_words") * hit_share)).alias("contaminated"),
+        ((n_hit > 0) & (n_hit * per_hit >= F.col("n_words"))).alias("contaminated"),
     )
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """The documents that are not contaminated, with their own columns."""
-    bad = contamination(docs, items, window).where("contaminated").select("key").distinct()
-    keyed = docs.withColumn("_key", _key(docs))
-    return keyed.join(bad.withColumnRenamed("key", "_key"), "_key", "left_anti").select(*docs.columns)
+    """The documents without any hit, with their own columns: a passage of an item leaks however long the text around it is."""
+    bad = phrase_matches(docs.select("doc_id", "text"), items, window)[1].select(F.col("key").alias("bad")).distinct()
+    return docs.join(bad, _key(docs).eqNullSafe(F.col("bad")), "left_anti")
 
 
 def proximity_matches(docs: DataFrame, terms: list[str], slop: int) -> DataFrame:

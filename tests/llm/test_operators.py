@@ -133,6 +133,10 @@ def test_decontamination(spark, docs):
     assert decontaminate.contamination(more, items).where("doc_id = 50").count() == 2
     kept = decontaminate.decontaminate(more, items)
     assert kept.columns == more.columns and kept.where("doc_id >= 50").count() == 1
+    # a passage in a long text is no reason to call the document contaminated, but a filter drops it
+    hidden = spark.createDataFrame([(60, f"{LONG} {item} {LONG}", 1), (61, LONG, 1), (None, item, 1)], "doc_id bigint, text string, _key int")
+    assert {r.doc_id: r.contaminated for r in decontaminate.contamination(hidden, items).collect()} == {60: False, 61: False, None: True}
+    assert [tuple(r) for r in decontaminate.decontaminate(hidden, items).select("doc_id", "_key").collect()] == [(61, 1)]
     assert decontaminate.contamination(docs, empty(items)).where("contaminated").count() == 0
     assert decontaminate.contamination(empty(docs), items).count() == 0
     near = decontaminate.proximity_matches(docs, ["cat", "mat"], 3).collect()
