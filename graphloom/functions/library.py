@@ -47,11 +47,6 @@ LIBRARY: dict[str, str] = {
     "date.convert_format": "date_format(to_timestamp({0}, {1}), {2})", "temporal.format": "date_format({0}, {1})",
     "date.add": "({0} + cast({1} * (case {2} when 'd' then 86400000L when 'h' then 3600000L when 'm' then 60000L when 's' then 1000L else 1L end) as bigint))",
     # points and vectors
-    "point": "{0}",
-    "point.distance": "sqrt(pow({0}.x - {1}.x, 2) + pow({0}.y - {1}.y, 2))", "point.withinbbox": "({0}.x between {1}.x and {2}.x and {0}.y between {1}.y and {2}.y)",
     "distance_calculator.single": _HAVERSINE,
     "vector_search.cosine_similarity": f"({_DOT} / (sqrt({_DOT.replace('{1}', '{0}')}) * sqrt({_DOT.replace('{0}', '{1}')})))",
-    # maps and structures of a row
-    "keys": "map_keys(map_filter(from_json(to_json({0}), 'map<string,string>'), (k, v) -> v is not null))", "values": "map_values(from_json(to_json({0}), 'map<string,string>'))",
-    "duration": "cast({0} as interval day to second)", "localtime": "(unix_micros(cast(concat('1970-01-01 ', {0}, 'Z') as timestamp)))",
 }

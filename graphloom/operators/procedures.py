@@ -80,6 +80,14 @@ def _text(graph: Graph, label: str, column: str, query: str, k: int = 1000) -> D
     return A.text_search(graph.nodes[label], query.split(), k, "id", column).withColumnRenamed("id", "node")
 
 
+#: Procedures whose first argument is nodes: they get a table of ids, and their rows say by source to which id they belong.
+PER_NODE: set[str] = set()
+#: Procedures that give a new graph and rows.
+WRITES: set[str] = set()
+#: Fields that hold ids of nodes or of relationships.
+NODE_FIELDS = {"node", "node1", "node2", "neighbour", "node_from", "node_to", "from", "to", "center", "ancestor"}
+REL_FIELDS = {"relationship", "rel", "edge"}
+
 PROCEDURES: dict[str, Callable[..., DataFrame]] = {
     "pagerank.get": _whole(lambda v, e, rounds=100, damping=0.85, stop=1e-5: A.pagerank(v, e, damping, rounds, stop)),
     "degree_centrality.get": _whole(lambda v, e, kind="undirected": A.degree_centrality(v, e, kind)),

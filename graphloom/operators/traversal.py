@@ -4,20 +4,33 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Cuts a loop's lineage by a checkpoint in the folder that the session names (a local one where none is named)."""
+    """Cuts a loop's lineage by a checkpoint in the folder that the session names. Only a local session may do without one."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "graphloom-checkpoints"))
     return df.checkpoint()
 
 
+def numbered(df: DataFrame, name: str, start: Column | int = 0, step: int = 1) -> DataFrame:
+    """df with gapless numbers: the rows of each partition are numbered where they lie, after the sizes of the partitions before."""
+    placed = cut(df.withColumns({"_part": F.spark_partition_id(), "_place": F.monotonically_increasing_id()}))
+    sizes = placed.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"), F.min("_place").alias("_first"))
+    before = sizes.select("_part", "_first", (F.sum("_n").over(Window.orderBy("_part")) - F.col("_n")).alias("_before"))  # one row a partition
+    place = F.col("_before") + F.col("_place") - F.col("_first")
+    first = F.lit(start) if isinstance(start, int) else start
+    return placed.join(F.broadcast(before), "_part").withColumn(name, (first + place * step).cast("bigint")).drop("_part", "_place", "_first", "_before")
+
+
 def both_ways(edges: DataFrame) -> DataFrame:
     """Each edge in both directions; a self-loop once."""
     back = edges.where("src != dst").withColumns({"src": F.col("dst"), "dst": F.col("src")})
@@ -40,6 +53,158 @@ def reach(edges: DataFrame, sources: DataFrame, max_hops: int | None = None) ->
     return seen
 
 
+class Hops:
+    """A query's budget of edge visits (USING HOPS LIMIT) and how many were made; without a limit visits are only counted where that is asked for."""
+
+    def __init__(self, limit: int | None = None, counting: bool = False) -> None:
+        self.limit, self.used, self.counting = limit, 0, counting or limit is not None
+
+    def visit(self, moved: DataFrame, *order: str) -> DataFrame:
+        """The moves that the budget still allows, in a fixed order."""
+        if not self.counting:
+            return moved
+        if self.limit is not None:
+            moved = moved.orderBy(*order).limit(max(0, self.limit - self.used))
+        moved = cut(moved)
+        self.used += moved.count()
+        return moved
+
+
+Keep = Callable[[DataFrame], DataFrame]
+
+
+class Walker:
+    """Moves a frontier along steps(e, src, dst[, r][, weight]).
+
+    The frontier has source, node, ids (of the edges), and where they are asked for rels and nodes (structs, nodes with the start). keep filters moves
+    that have r, n (the node moved to), rels, nodes and weight beside them.
+    """
+
+    def __init__(self, steps: DataFrame, nodes: DataFrame | None = None, rels: bool = False, keep: Keep | None = None, weigh: Keep | None = None, unit: str = "double", hops: Hops | None = None) -> None:
+        self.nodes, self.rels, self.keep, self.weigh, self.unit, self.hops = nodes, rels, keep, weigh, unit, hops or Hops()
+        self.steps = cut(steps)
+
+    def begin(self, sources: DataFrame) -> DataFrame:
+        front = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.array().cast("array<bigint>").alias("ids")).distinct()
+        if self.rels:
+            front = front.withColumn("rels", F.array().cast(f"array<{dict(self.steps.dtypes)['r']}>"))
+        if self.nodes is not None:
+            front = front.join(self.nodes.select(F.col("n.id").alias("node"), F.array("n").alias("nodes")), "node")
+        if self.weigh is not None:
+            front = front.withColumn("weight", F.lit(None).cast(self.unit))
+        return cut(front.select("source", "node", "ids", *self.carried, *(["weight"] if self.weigh is not None else [])))
+
+    @property
+    def carried(self) -> list[str]:
+        return (["rels"] if self.rels else []) + (["nodes"] if self.nodes is not None else [])
+
+    def move(self, front: DataFrame) -> DataFrame:
+        moved = front.join(self.steps, front["node"] == self.steps["src"]).where(~F.array_contains("ids", F.col("e")))
+        moved = self.hops.visit(moved, "ids", "e")
+        if self.nodes is not None:
+            moved = moved.join(self.nodes.select("n", F.col("n.id").alias("_to")), F.col("dst") == F.col("_to")).drop("_to")
+        if self.rels:
+            moved = moved.withColumn("rels", F.concat("rels", F.array("r")))
+        if self.nodes is not None:
+            moved = moved.withColumn("nodes", F.concat("nodes", F.array("n")))
+        if self.weigh is not None:
+            moved = self.weigh(moved)
+        if self.keep is not None:
+            moved = self.keep(moved)
+        weight = ["weight"] if self.weigh is not None else []
+        return moved.select("source", F.col("dst").alias("node"), F.concat("ids", F.array("e")).alias("ids"), *self.carried, *weight)
+
+    def every(self, sources: DataFrame, low: int, high: int | None) -> DataFrame:
+        """Every path of low to high edges that repeats no edge. A loop until no path goes on, unrolled where high is small."""
+        front = self.begin(sources)
+        out, hop = front.where(F.lit(low <= 0)), 0
+        short = high is not None and high <= 4 and not self.hops.counting
+        while high is None or hop < high:
+            hop += 1
+            front = self.move(front)
+            if not short:
+                front = cut(front)
+                if front.isEmpty():
+                    break
+            if hop >= low:
+                out = out.unionByName(front)
+        return out
+
+    def nearest(self, sources: DataFrame, low: int, high: int | None) -> DataFrame:
+        """One path of the least number of edges to each node (of equal ones the least by its edges' ids), without the start itself."""
+        front = self.begin(sources)
+        seen, hop = front, 0
+        while high is None or hop < high:
+            hop += 1
+            best = self.move(front).groupBy("source", "node").agg(F.min(F.struct("ids", *self.carried)).alias("m") if not self.carried else F.min_by(F.struct("ids", *self.carried), "ids").alias("m"))
+            front = cut(best.select("source", "node", "m.*").join(seen.select("source", "node"), ["source", "node"], "left_anti").select(*seen.columns))
+            if front.isEmpty():
+                break
+            seen = seen.unionByName(front)
+            if hop % 4 == 0:
+                seen = cut(seen)
+        return seen.where(F.size("ids") >= max(low, 1))
+
+    def lightest(self, sources: DataFrame, high: int | None, ties: bool = False) -> DataFrame:
+        """The lightest path to each node within high edges, or with ties every one; of equal ones the least by its edges' ids.
+
+        After round k the best weights are those over at most k edges, so a bound on edges gives the lightest path within it.
+        """
+        front = self.begin(sources)
+        best, found, hop = front.select("source", "node", F.col("weight").alias("top")).limit(0), [], 0
+        while high is None or hop < high:
+            hop += 1
+            moved = cut(self.move(front).where("source != node"))
+            lows = moved.groupBy("source", "node").agg(F.min("weight").alias("low"))
+            new = cut(lows.join(best, ["source", "node"], "full"))
+            better = new.where(F.col("low").isNotNull() & (F.col("top").isNull() | (F.col("low") <= F.col("top") if ties else F.col("low") < F.col("top"))))
+            tight = moved.join(better.select("source", "node", "low"), ["source", "node"]).where(F.col("weight") == F.col("low")).drop("low")
+            if not ties:
+                tight = tight.groupBy("source", "node").agg(F.min_by(F.struct(*[c for c in tight.columns if c not in ("source", "node")]), "ids").alias("m")).select("source", "node", "m.*")
+            front = cut(tight.select(*front.columns))
+            if front.isEmpty():
+                break
+            found.append(front)
+            best = cut(new.select("source", "node", F.least("low", "top").alias("top")))
+        out = front.limit(0)
+        for one in found:
+            out = out.unionByName(one)
+        ends = out.join(best, ["source", "node"]).where(F.col("weight") == F.col("top")).drop("top")
+        if ties:
+            return ends
+        return ends.groupBy("source", "node").agg(F.min_by(F.struct(*[c for c in ends.columns if c not in ("source", "node")]), "ids").alias("m")).select("source", "node", "m.*")
+
+    def k_nearest(self, pairs: DataFrame, k: int, low: int, high: int | None) -> DataFrame:
+        """For each (source, target) the k shortest simple paths by edges; ties by their edges' ids. A move has to be able to reach its target still."""
+        pairs = cut(pairs.distinct())
+        back = cut(reach(self.steps.select(F.col("dst").alias("src"), F.col("src").alias("dst")), pairs.select(F.col("target").alias("id")).distinct(), high).select(F.col("source").alias("goal"), F.col("node").alias("via")))
+        front = self.begin(pairs.select(F.col("source").alias("id"))).withColumn("been", F.array("node")).join(pairs, "source")
+        wide = front.columns
+        found, hop = None, 0
+        while high is None or hop < high:
+            hop += 1
+            moved = front.join(self.steps, front["node"] == self.steps["src"]).where(~F.array_contains("been", F.col("dst")))
+            moved = moved.join(back, (F.col("target") == F.col("goal")) & (F.col("dst") == F.col("via")), "left_semi")
+            if self.nodes is not None:
+                moved = moved.join(self.nodes.select("n", F.col("n.id").alias("_to")), F.col("dst") == F.col("_to")).drop("_to").withColumn("nodes", F.concat("nodes", F.array("n")))
+            if self.rels:
+                moved = moved.withColumn("rels", F.concat("rels", F.array("r")))
+            if self.keep is not None:
+                moved = self.keep(moved)
+            moved = moved.select("source", "target", F.col("dst").alias("node"), F.concat("ids", F.array("e")).alias("ids"), F.concat("been", F.array("dst")).alias("been"), *self.carried)
+            front = cut(moved.select(*wide))
+            if front.isEmpty():
+                break
+            done = front.where((F.col("node") == F.col("target")) & (F.size("ids") >= low))
+            found = done if found is None else found.unionByName(done)
+            full = found.groupBy("source", "target").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("source", "target")
+            front = cut(front.where("node != target").join(full, ["source", "target"], "left_anti").select(*wide))
+        if found is None:
+            found = front.limit(0)
+        rank = F.row_number().over(Window.partitionBy("source", "target").orderBy(F.size("ids"), "ids"))
+        return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("been", "target")
+
+
 def trails(edges: DataFrame, sources: DataFrame, low: int = 1, high: int | None = 2) -> DataFrame:
     """(source, node, rels, nodes): every path of low to high edges that repeats no edge. Unrolled joins; without high a loop until no path goes on."""
     front = sources.select(F.col("id").alias("source"), F.col("id").alias("node"), F.array().cast("array<bigint>").alias("rels"), F.array("id").alias("nodes"))

@@ -47,7 +47,7 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT r_name AS region, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
     "var_length_open": ("MATCH (c:Customer)-[e:PLACED|CONTAINS*]->(p:Part) RETURN p.partkey AS k, count(*) AS n",
         "SELECT p_partkey AS k, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey GROUP BY 1"),
-    "bfs_depth": ("MATCH (s:Supplier)-[d:IN_NATION|IN_REGION *BFS ..2]->(x) RETURN d AS depth, count(*) AS n",
+    "bfs_depth": ("MATCH (s:Supplier)-[d:IN_NATION|IN_REGION *BFS ..2]->(x) RETURN size(d) AS depth, count(*) AS n",
         "SELECT 1 AS depth, count(*) AS n FROM supplier UNION ALL SELECT 2, count(*) FROM supplier"),
     "order_skip_limit": ("MATCH (p:Part) RETURN p.partkey AS k, p.retailprice AS price ORDER BY p.retailprice DESC, p.partkey SKIP 5 LIMIT 10",
         "SELECT p_partkey AS k, p_retailprice AS price FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 10 OFFSET 5"),
@@ -72,6 +72,41 @@ TEXTS: dict[str, tuple[str, str]] = {
         "SELECT x, list_sum(l)::DOUBLE AS s, list_max(l) AS top, len(list_distinct(l)) AS kinds, list_contains(l, 2) AS two, ((len(l) + 1) // 2) AS parts, len(list_filter(list_distinct(l), lambda v: len(list_filter(l, lambda w: w = v)) > 1)) AS again FROM (SELECT x, list_transform(range(0, x + 1), lambda y: y % 3) AS l FROM range(1, 5) t(x))"),
     "text_library": ("MATCH (p:Part) RETURN p.partkey AS k, text.distance(p.brand, p.name) AS d, text.regreplace(p.brand, '[0-9]', '#') AS masked, text.indexOf(p.name, 'a') AS first, util.md5([p.brand, p.name]) AS h",
         "SELECT p_partkey AS k, levenshtein(p_brand, p_name) AS d, regexp_replace(p_brand, '[0-9]', '#', 'g') AS masked, (instr(p_name, 'a') - 1)::BIGINT AS first, md5(p_brand || p_name) AS h FROM part"),
+    "where_and_or": ("MATCH (p:Part) WHERE p.size = 1 AND p.size = 2 OR p.size = 3 AND NOT p.brand = 'Brand#11' RETURN p.partkey AS k", "SELECT p_partkey AS k FROM part WHERE p_size = 3 AND p_brand != 'Brand#11'"),
+    "unbounded_trails": ("MATCH (c:Customer)-[e:IN_NATION|IN_REGION|PLACED*]->(x) RETURN size(e) AS hops, labels(x)[0] AS label, count(*) AS n",
+        "SELECT 1 AS hops, 'Nation' AS label, count(*) AS n FROM customer UNION ALL SELECT 2, 'Region', count(*) FROM customer UNION ALL SELECT 1, 'Order', count(*) FROM orders"),
+    "unique_across_patterns": ("MATCH (a:Nation)-[:IN_REGION]->(r:Region), (b:Nation)-[:IN_REGION]->(r) RETURN r.name AS region, count(*) AS n",
+        "SELECT r_name AS region, count(*) AS n FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey != b.n_nationkey JOIN region ON r_regionkey = a.n_regionkey GROUP BY 1"),
+    "label_and": ("MATCH (a:Nation:Region) RETURN count(*) AS n", "SELECT 0::BIGINT AS n"),
+    "integer_division": ("MATCH (p:Part) RETURN p.partkey AS k, p.size / 7 AS whole, p.size % 7 AS rest, p.size / 8.0 AS part", "SELECT p_partkey AS k, (p_size // 7)::BIGINT AS whole, (p_size % 7)::BIGINT AS rest, p_size / 8.0::DOUBLE AS part FROM part"),
+    "string_concat": ("MATCH (p:Part) RETURN p.partkey AS k, p.brand + '/' + p.name + p.size AS t, size(p.name) AS n", "SELECT p_partkey AS k, p_brand || '/' || p_name || p_size AS t, length(p_name) AS n FROM part"),
+    "named_path": ("MATCH p = (c:Customer)-[:IN_NATION]->(n:Nation)-[:IN_REGION]->(r) WHERE c.acctbal > 9000 RETURN [x IN nodes(p) | x.name] AS names, length(p) AS hops, [r IN relationships(p) | type(r)] AS types",
+        "SELECT [c_name, n_name, r_name] AS names, 2::BIGINT AS hops, ['IN_NATION', 'IN_REGION'] AS types FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE c_acctbal > 9000"),
+    "pattern_comprehension": ("MATCH (n:Nation) RETURN n.name AS nation, size([(n)<-[:IN_NATION]-(s:Supplier) WHERE s.acctbal > 0 | s.name]) AS n",
+        "SELECT n_name AS nation, count(s_suppkey)::INT AS n FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 0 GROUP BY 1"),
+    "count_subquery": ("MATCH (c:Customer) WHERE COUNT { (c)-[:PLACED]->(o:Order) WHERE o.orderstatus = 'O' } > 5 RETURN c.custkey AS k, COUNT { (c)-[:PLACED]->() } AS n",
+        "SELECT c_custkey AS k, count(*) AS n FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1 HAVING count(*) FILTER (WHERE o_orderstatus = 'O') > 5"),
+    "exists_or": ("MATCH (c:Customer) WHERE c.acctbal > 9000 OR EXISTS { (c)-[:PLACED]->(o:Order) WHERE o.totalprice > 400000 } RETURN c.custkey AS k, NOT (c)-[:PLACED]->() AS idle",
+        "SELECT c_custkey AS k, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS idle FROM customer WHERE c_acctbal > 9000 OR EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000)"),
+    "call_correlated": ("MATCH (n:Nation) CALL { WITH n MATCH (n)<-[:IN_NATION]-(c:Customer) RETURN count(c) AS customers, max(c.acctbal) AS top } RETURN n.name AS nation, customers, top",
+        "SELECT n_name AS nation, count(c_custkey) AS customers, max(c_acctbal) AS top FROM nation LEFT JOIN customer ON c_nationkey = n_nationkey GROUP BY 1"),
+    "call_correlated_top": ("MATCH (n:Nation) CALL { WITH n MATCH (n)<-[:IN_NATION]-(s:Supplier) RETURN s.suppkey AS best ORDER BY s.acctbal DESC, s.suppkey LIMIT 2 } RETURN n.name AS nation, best",
+        "SELECT n_name AS nation, s_suppkey AS best FROM nation JOIN supplier ON s_nationkey = n_nationkey QUALIFY row_number() OVER (PARTITION BY n_nationkey ORDER BY s_acctbal DESC, s_suppkey) <= 2"),
+    "map_projection": ("MATCH (r:Region) RETURN r {.name, key: r.regionkey}.name AS name, keys(r {.name, twice: r.regionkey * 2}) AS keys", "SELECT r_name AS name, ['name', 'twice'] AS keys FROM region"),
+    "degree_functions": ("MATCH (n:Nation) RETURN n.name AS nation, degree(n) AS d, inDegree(n) AS i, outDegree(n) AS o",
+        "SELECT n_name AS nation, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) + 1 AS d, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) + (SELECT count(*) FROM supplier WHERE s_nationkey = n_nationkey) AS i, 1::BIGINT AS o FROM nation"),
+    "ends_of_relationships": ("MATCH (:Nation)-[e:IN_REGION]->(:Region) RETURN startNode(e).name AS nation, endNode(e).name AS region, type(e) AS t", "SELECT n_name AS nation, r_name AS region, 'IN_REGION' AS t FROM nation JOIN region ON n_regionkey = r_regionkey"),
+    "bfs_path": ("MATCH p = (s:Supplier)-[:IN_NATION|IN_REGION *BFS]->(r:Region) RETURN s.suppkey AS k, [n IN nodes(p) | n.name] AS names", "SELECT s_suppkey AS k, [s_name, n_name, r_name] AS names FROM supplier JOIN nation ON s_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey"),
+    "all_shortest": ("MATCH (n:Nation {nationkey: 3})<-[e:IN_NATION|PLACED *ALLSHORTEST (r, x | 1.5) total]-(o:Customer) RETURN o.custkey AS k, total, size(e) AS hops", "SELECT c_custkey AS k, 1.5::DOUBLE AS total, 1 AS hops FROM customer WHERE c_nationkey = 3"),
+    "k_shortest": ("MATCH (a:Nation {nationkey: 3}), (b:Region) WHERE b.regionkey < 3 MATCH (a)-[e:IN_REGION *KSHORTEST ..3|2]->(b) RETURN b.regionkey AS region, size(e) AS hops", "SELECT n_regionkey AS region, 1 AS hops FROM nation WHERE n_nationkey = 3 AND n_regionkey < 3"),
+    "filter_lambda": ("MATCH (c:Customer)-[e:PLACED|CONTAINS *1..2 (r, n | n.totalprice > 300000 OR r.quantity >= 45)]->(x) RETURN labels(x)[0] AS label, count(*) AS n",
+        "SELECT 'Order' AS label, count(*) AS n FROM orders WHERE o_totalprice > 300000 UNION ALL SELECT 'Part', count(*) FROM orders JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey WHERE o_totalprice > 300000 AND l_quantity >= 45"),
+    "hops_limit": ("USING HOPS LIMIT 7 MATCH (n:Nation)-[:IN_REGION]->(r) RETURN count(*) AS n", "SELECT 7::BIGINT AS n"),
+    "collect_map": ("MATCH (r:Region) RETURN collect(r.name, r.regionkey)['ASIA'] AS asia, size(collect(r.name)) AS n", "SELECT max(CASE WHEN r_name = 'ASIA' THEN r_regionkey END) AS asia, count(*)::INT AS n FROM region"),
+    "project_graph": ("MATCH p = (:Nation)-[:IN_REGION]->(r:Region) RETURN r.name AS region, size(project(p).nodes) AS nodes, size(project(p).edges) AS edges", "SELECT r_name AS region, (count(*) + 1)::INT AS nodes, count(*)::INT AS edges FROM nation JOIN region ON n_regionkey = r_regionkey GROUP BY 1"),
+    "temporal_arithmetic": ("MATCH (o:Order) WITH date(o.orderdate) AS d WITH d, d + duration('P30D') AS due RETURN d.year AS y, due.month AS m, count(*) AS n, max((due - d).day) AS days", "SELECT year(o_orderdate) AS y, month(o_orderdate::DATE + 30) AS m, count(*) AS n, 30::BIGINT AS days FROM orders GROUP BY 1, 2"),
+    "point_distance": ("MATCH (p:Part) WITH p, point({x: toFloat(p.size), y: 1.0}) AS at WHERE point.distance(at, point({x: 10, y: 1})) < 3 AND point.withinbbox(at, point({x: 8, y: 0}), point({x: 11, y: 2})) RETURN p.partkey AS k, at.x AS x", "SELECT p_partkey AS k, p_size::DOUBLE AS x FROM part WHERE p_size BETWEEN 8 AND 11"),
+    "order_by_aggregate": ("MATCH (c:Customer) RETURN c.mktsegment AS s, count(*) AS n ORDER BY avg(c.acctbal) DESC, s LIMIT 3", "SELECT c_mktsegment AS s, count(*) AS n FROM customer GROUP BY 1 ORDER BY avg(c_acctbal) DESC, s LIMIT 3"),
     "call_subquery": ("CALL { MATCH (p:Part) RETURN max(p.size) AS top } MATCH (q:Part) WHERE q.size = top RETURN q.partkey AS k, top", "SELECT p_partkey AS k, p_size AS top FROM part WHERE p_size = (SELECT max(p_size) FROM part)"),
     "call_schema": ("CALL meta.stats_offline() YIELD labelCount, nodeCount, relationshipTypeCount RETURN labelCount, nodeCount, relationshipTypeCount",
         "SELECT 6::BIGINT AS labelCount, sum(n)::BIGINT AS nodeCount, 5::INT AS relationshipTypeCount FROM (SELECT count(*) AS n FROM region UNION ALL SELECT count(*) FROM nation UNION ALL SELECT count(*) FROM customer UNION ALL SELECT count(*) FROM supplier UNION ALL SELECT count(*) FROM part UNION ALL SELECT count(*) FROM orders)"),

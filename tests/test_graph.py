@@ -59,7 +59,7 @@ def test_open_length_gives_every_trail(spark):
     nodes = spark.createDataFrame([(i,) for i in range(3)], "id bigint")
     graph = Graph(spark, {"N": nodes}, (Rel("E", "N", "N", edges),))
     for low in (1, 2):
-        rows = run_query(graph, f"MATCH (a:N)-[e*{low}..]->(b:N) WHERE a.id = 0 RETURN b.id AS b, e").collect()
+        rows = run_query(graph, f"MATCH (a:N)-[e*{low}..]->(b:N) WHERE a.id = 0 RETURN b.id AS b, [x IN e | id(x)] AS e").collect()
         assert sorted((r.b, r.e) for r in rows) == sorted((n, r) for n, r in want if len(r) >= low)
 
 
