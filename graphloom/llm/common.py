@@ -19,14 +19,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session, as in tests, may do without and gets a folder of its own."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{os.path.join(tempfile.gettempdir(), 'graphloom-checkpoints')}"
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+#: Bytes of values up to which a table is broadcast.
+MAX_BROADCAST_BYTES = 32_000_000
+
+
+def small(df: DataFrame, *columns: str) -> DataFrame:
+    """df, to be broadcast if the values of the columns and 32 bytes a row are few bytes in all (both are measured first); else joined by a shuffle."""
+    size = df.agg(F.count(F.lit(1)) * 32 + F.coalesce(F.sum(sum((F.coalesce(F.octet_length(F.col(c).cast("string")), F.lit(0)) for c in columns), F.lit(0))), F.lit(0))).first()[0]
+    return F.broadcast(df) if size <= MAX_BROADCAST_BYTES else df
+
+
 def stored(df: DataFrame) -> DataFrame:
     """Cuts the lineage: writes df as Parquet into the shared folder and reads it back, so lost executors cost nothing."""
     spark = df.sparkSession

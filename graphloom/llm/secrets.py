@@ -6,7 +6,9 @@ array. A batch of documents is one byte string cut into equal columns that advan
 once for all rules. Columns start in the initial state; where the column before ends in another
 state the column is read again from there, until all agree: the states are those of one sequential pass.
 
-Where the automaton accepts for a rule, the rule's full expression gives the spans (code points) in that document.
+Where the automaton accepts for a rule, an automaton of the reversed detecting regex walks back to the leftmost start, and one of the rule's whole
+regex walks on from there to the last accepting place. Both are built like the combined one and stop in their dead state, so only
+bytes around a hit are read again. Python's regexes are not used. Spans are in code points.
 
 Defined results: null or empty text has no spans; rows that repeat keep a row each; an empty table gives no rows; other
 columns are carried only where asked for.
@@ -15,7 +17,6 @@ columns are carried only where asked for.
 from __future__ import annotations
 
 import functools
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,23 +31,22 @@ _KEYS = r"(password|passwd|secret|token|api_?key)"
 
 @dataclass(frozen=True)
 class Rule:
-    """detect: the least that every span begins with, for the automaton (any case if folded); full: the spans; need: least length of group `group`."""
+    """detect: the least that every span begins with (any case if folded); full: the spans. need: least length, counted from the last character of detect if from_last, else from the start."""
 
     name: str
     detect: str
     full: str
-    group: int = 0
     need: int = 1
     folded: bool = False
+    from_last: bool = False
 
 
 #: Formats of secrets. The first three are base kinds.
 RULES = (
-    Rule("assign", _KEYS + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]""",
-         r"(?i:" + _KEYS + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12, True),
-    Rule("access", r"AKIA[A-Z0-9]{4}", r"AKIA[A-Z0-9]+", 0, 18),
-    Rule("hex", r"[0-9a-f]{16}", r"[0-9a-f]+", 0, 16),
-    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("assign", _KEYS + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]""", _KEYS + r"""["']?\x20*[:=]\x20*["']?[A-Za-z0-9+/_.=-]+""", 12, True, True),
+    Rule("access", r"AKIA[A-Z0-9]{4}", r"AKIA[A-Z0-9]+", 18),
+    Rule("hex", r"[0-9a-f]{16}", r"[0-9a-f]+", 16),
+    Rule("private_key", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\x0A\x0D]*(-----END [A-Z ]*PRIVATE KEY-----)?"),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]", r"gh[pousr]_[A-Za-z0-9]{36,}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
     Rule("live_key", r"[rs]k_live_[A-Za-z0-9]", r"[rs]k_live_[A-Za-z0-9]{16,}"),
@@ -56,9 +56,10 @@ BASE = ("assign", "access", "hex")
 
 
 class _Parser:
-    """A regex of literals, escapes, classes, groups, |, ?, *, + and {m}, {m,}, {m,n} to an epsilon automaton over bytes."""
+    """A regex of literals, escapes, classes, groups, |, ?, *, + and {m}, {m,}, {m,n} to an epsilon automaton over bytes, or to that of its reversed texts."""
 
-    def __init__(self) -> None:
+    def __init__(self, reverse: bool = False) -> None:
+        self.reverse = reverse
         self.eps: list[list[int]] = []
         self.arcs: list[list[tuple[frozenset[int], int]]] = []
 
@@ -153,7 +154,7 @@ class _Parser:
                 self.eps[b].append(last)
         elif kind == "and":
             at = first
-            for part in tree[1]:
+            for part in tree[1][::-1] if self.reverse else tree[1]:
                 a, b = self._build(part)
                 self.eps[at].append(a)
                 at = b
@@ -201,19 +202,11 @@ def _minimal(step: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray, np.ndarr
         block = finer
 
 
-@functools.lru_cache(maxsize=4)
-def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
-    nfa = _Parser()
-    root = nfa.node()
-    finals: dict[int, int] = {}
-    for i, r in enumerate(rules):
-        a, b = nfa.add(r.detect, r.folded)
-        nfa.eps[root].append(a)
-        finals[b] = 1 << i
+def _automaton(nfa: _Parser, root: int, finals: dict[int, int], anchored: bool) -> Automaton:
+    """Subset construction over byte classes and minimisation. anchored: matches begin at the first byte only; else at any."""
     marks = np.zeros(256, dtype=np.int64)
     sets = sorted({s for arcs in nfa.arcs for s, _ in arcs}, key=sorted)
     for s in sets:
-        marks[sorted(s)] = np.unique(marks * 2 + np.isin(np.arange(256), sorted(s)), return_inverse=True)[1][sorted(s)] + 1000
         marks = np.unique(marks * 2 + np.isin(np.arange(256), sorted(s)), return_inverse=True)[1]
     classes, n = marks.astype(np.int32), int(marks.max()) + 1
     sample = [int(np.flatnonzero(classes == c)[0]) for c in range(n)]
@@ -232,11 +225,12 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
 
     targets = {x: [[closure(t) for s, t in arcs if b in s] for b in sample] for x, arcs in enumerate(nfa.arcs) if arcs}
     begin = closure(root)
+    always = frozenset() if anchored else begin
     states, table, todo = {begin: 0}, [], [begin]
     for state in todo:
         row = []
         for c in range(n):
-            to = frozenset(begin.union(*(t for x in state if x in targets for t in targets[x][c])))
+            to = frozenset(always.union(*(t for x in state if x in targets for t in targets[x][c])))
             if to not in states:
                 states[to] = len(states)
                 todo.append(to)
@@ -255,6 +249,51 @@ def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
     return Automaton(classes.astype(np.int32), n, (small * n).astype(np.int32).ravel(), int(rank[block[0]]) * n, plain * n, labels[first[order]])
 
 
+@functools.lru_cache(maxsize=4)
+def compile_rules(rules: tuple[Rule, ...] = RULES) -> Automaton:
+    """The detecting regexes of all rules, from any byte on."""
+    nfa = _Parser()
+    root = nfa.node()
+    finals: dict[int, int] = {}
+    for i, r in enumerate(rules):
+        a, b = nfa.add(r.detect, r.folded)
+        nfa.eps[root].append(a)
+        finals[b] = 1 << i
+    return _automaton(nfa, root, finals, False)
+
+
+class Walk:
+    """One regex from a fixed place: byte -> next state as plain lists, for the few bytes around a hit. State -1 is dead."""
+
+    def __init__(self, regex: str, folded: bool, reverse: bool) -> None:
+        nfa = _Parser(reverse)
+        root, last = nfa.add(regex, folded)
+        auto = _automaton(nfa, root, {last: 1}, True)
+        n = auto.n_classes
+        count = len(auto.step) // n
+        dead = [s * n < auto.accepting and bool((auto.step[s * n : s * n + n] == s * n).all()) for s in range(count)]
+        self.next = [[-1 if dead[t := int(auto.step[s * n + int(auto.classes[b])]) // n] else t for b in range(256)] for s in range(count)]
+        self.start, self.accepting = auto.start // n, auto.accepting // n
+
+    def last(self, data: bytes, begin: int, end: int, by: int) -> int:
+        """How many bytes from begin on (towards end, by 1 or -1) the longest match takes; -1 without one."""
+        state, taken, best = self.start, 0, -1
+        for at in range(begin, end, by):
+            state = self.next[state][data[at]]
+            if state < 0:
+                break
+            taken += 1
+            if state >= self.accepting:
+                best = taken
+        return best
+
+
+@functools.lru_cache(maxsize=4)
+def _walks(rules: tuple[Rule, ...]) -> tuple[tuple[Walk, Walk], ...]:
+    """(backwards over detect, onwards over full) of each rule."""
+    return tuple((Walk(r.detect, r.folded, True), Walk(r.full, r.folded, False)) for r in rules)
+
+
 def _advance(auto: Automaton, grid: np.ndarray, state: np.ndarray, columns: np.ndarray, hits: list) -> np.ndarray:
     """Runs the columns of grid (byte classes, one row for each step) from their states; notes (column, row, rules) where rules come up."""
     rows = grid[:, columns] if len(columns) < grid.shape[1] else grid
@@ -300,34 +339,45 @@ def scan_bytes(data: bytes, auto: Automaton, columns: int = COLUMNS) -> tuple[np
     return ends[inside], rules[inside]
 
 
-@functools.lru_cache(maxsize=4)
-def _full(rules: tuple[Rule, ...]) -> tuple[re.Pattern[str], ...]:
-    return tuple(re.compile(r.full, re.ASCII) for r in rules)
-
-
-def spans_in(text: str, bits: int, rules: tuple[Rule, ...]) -> list[tuple[str, int, int]]:
-    """Spans of the rules in bits: leftmost, not overlapping within a rule; by start, then the rules' order."""
-    out = []
-    for i, (r, p) in enumerate(zip(rules, _full(rules), strict=True)):
-        if bits >> i & 1:
-            for m in p.finditer(text):
-                if m.end(r.group) - m.start(r.group) >= r.need:
-                    out.append((m.start(), i, m.end()))
-    return [(rules[i].name, s, e) for s, i, e in sorted(out)]
+def _located(data: bytes, hits: list[tuple[int, int]], rules: tuple[Rule, ...]) -> list[tuple[str, int, int]]:
+    """Spans in one text's bytes from its hits (last byte of detect, rules): leftmost, not overlapping within a rule; by start, then the rules' order."""
+    found: list[tuple[int, int, int]] = []
+    walks, free = _walks(rules), [0] * len(rules)
+    for end, bits in hits:
+        for i in range(len(rules)):
+            if bits >> i & 1 and end >= free[i]:
+                back, on = walks[i]
+                size = back.last(data, end, free[i] - 1, -1)
+                if size < 0:
+                    continue  # it would have to begin inside the match before
+                start = end + 1 - size
+                whole = on.last(data, start, len(data), 1)
+                if whole < 0:
+                    continue
+                free[i] = start + whole
+                if start + whole - (end if rules[i].from_last else start) >= rules[i].need:
+                    found.append((start, i, start + whole))
+    if not found:
+        return []
+    found.sort()
+    points = np.concatenate([[0], np.cumsum((np.frombuffer(data, dtype=np.uint8) & 0xC0) != 0x80)])
+    return [(rules[i].name, int(points[s]), int(points[e])) for s, i, e in found]
 
 
 def scan_texts(texts: list[str | None], rules: tuple[Rule, ...] = RULES) -> list[list[tuple[str, int, int]]]:
-    """The spans of each text. A line feed lies between texts; no rule goes across it."""
+    """The spans of each text. A line feed lies between texts; no detecting regex goes across it, and the walks end with the text."""
     coded = [(t or "").encode("utf-8", "replace") for t in texts]
     starts = np.cumsum([0] + [len(c) + 1 for c in coded])
     ends, bits = scan_bytes(b"\n".join(coded), compile_rules(rules))
     out: list[list[tuple[str, int, int]]] = [[] for _ in texts]
     if len(ends):
+        order = np.argsort(ends, kind="stable")
+        ends, bits = ends[order], bits[order]
         owner = np.searchsorted(starts, ends, side="right") - 1
-        found = np.zeros(len(texts), dtype=np.int64)
-        np.bitwise_or.at(found, owner, bits)
-        for i in np.flatnonzero(found):
-            out[i] = spans_in(texts[i] or "", int(found[i]), rules)
+        cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1], True])
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            i = int(owner[a])
+            out[i] = _located(coded[i], list(zip((ends[a:b] - starts[i]).tolist(), bits[a:b].tolist(), strict=True)), rules)
     return out
 
 
