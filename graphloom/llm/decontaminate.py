@@ -6,8 +6,8 @@ window is searched from its rarest term: the list of the rarest and of the secon
 term's offset in the test item, must meet at the same (document, item, shift). Alignments that survive are
 compared word by word with the document, which yields the exact phrase matches.
 
-Only test terms are posted, so the index grows with the documents but not with their vocabulary. The terms
-are broadcast if there are at most MAX_BROADCAST of them (counted first), else shuffled. No posting list is
+Only test terms are posted, so the index grows with the documents but not with their vocabulary. Terms, anchors
+and item texts are broadcast if their bytes, measured first, are few, else shuffled. No posting list is
 gathered in one task: joins with the lists run where the postings lie, and alignments are
 grouped per document.
 
@@ -21,12 +21,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import LOWER, UPPER, stored
+from .common import LOWER, UPPER, small, stored
 
 WINDOW = 13
 BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Terms or anchors (a few dozen bytes each) up to which they are broadcast.
-MAX_BROADCAST = 500_000
 _END = ""
 
 
@@ -40,11 +38,6 @@ def words_of(text: Column) -> Column:
     return F.filter(F.split(_low(text), BREAK), lambda w: w != "")
 
 
-def _small(df: DataFrame) -> DataFrame:
-    """Broadcast behind a check of the size; a shuffled join else."""
-    return F.broadcast(df) if df.count() <= MAX_BROADCAST else df
-
-
 def _key(docs: DataFrame) -> Column:
     return F.struct(F.col("doc_id"), F.xxhash64("text").alias("h"))
 
@@ -60,28 +53,29 @@ def build_index(docs: DataFrame, terms: DataFrame) -> DataFrame:
     ).where((F.col("term") != "") | (F.col("at") == F.col("n") - 1))
     marks = terms.select("term").union(docs.sparkSession.range(1).select(F.lit(_END).alias("term")))
     place = F.when((F.col("skip") == 1) & (F.col("n") > 1), F.col("at") - 1).otherwise(F.col("at"))
-    return placed.join(_small(marks), "term").select("term", "key", place.alias("pos"))
+    return placed.join(small(marks, "term"), "term").select("term", "key", place.alias("pos"))
 
 
-def test_windows(items: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(item, words, start, size) for each window of each item; item numbers the rows that have words."""
+def test_items(items: DataFrame, window: int = WINDOW) -> DataFrame:
+    """(item, words, size, last) for each distinct item with words: its windows are `size` words from each of the places 0 to last. item tells rows apart that share an id."""
     worded = items.select(F.col("item_id"), words_of(F.col("text")).alias("words")).where(F.size("words") > 0)
-    last = F.greatest(F.size("words") - window, F.lit(0))
     return worded.select(
         F.struct("item_id", F.xxhash64("words").alias("h")).alias("item"), "words",
-        F.least(F.size("words"), F.lit(window)).alias("size"), F.explode(F.sequence(F.lit(0), last)).alias("start"),
-    ).dropDuplicates(["item", "start"])
+        F.least(F.size("words"), F.lit(window)).alias("size"), F.greatest(F.size("words") - window, F.lit(0)).alias("last"),
+    ).dropDuplicates(["item"])
 
 
-def _anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
-    """For each window its two rarest terms that differ in place: (anchor, item, role, term, offset), each pair once."""
-    terms = windows.select("item", "start", "size", F.posexplode(F.slice("words", F.col("start") + 1, F.col("size"))).alias("i", "term"))
+def _anchors(tests: DataFrame, counts: DataFrame) -> DataFrame:
+    """For each window its two rarest terms that differ in place: (anchor, item, role, term, offset), each pair once. A word goes to the windows around it alone."""
+    words = tests.select("item", "size", "last", F.posexplode("words").alias("offset", "term"))
+    around = F.sequence(F.greatest(F.col("offset") - F.col("size") + 1, F.lit(0)), F.least("offset", "last"))
+    terms = words.select("item", "size", "offset", "term", F.explode(around).alias("start"))
     found = (
         terms.join(counts, "term", "left")
         .groupBy("item", "start", "size")
         .agg(
             F.min(F.coalesce("n", F.lit(0))).alias("least"),
-            F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", (F.col("start") + F.col("i")).alias("offset")))), 1, 2).alias("two"),
+            F.slice(F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "term", "offset"))), 1, 2).alias("two"),
         )
         .where("least > 0")  # a term that no document has rules the window out
         .select("item", F.transform("two", lambda t: F.struct(t["term"].alias("term"), t["offset"].alias("offset"))).alias("two"))
@@ -94,12 +88,12 @@ def _anchors(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> tuple[DataFrame, DataFrame]:
     """(marks: key, n_words per document row; matches: key, item_id, first, size for each window found in a document)."""
-    windows = stored(test_windows(items, window))
-    terms = windows.select(F.explode("words").alias("term")).distinct()
+    tests = stored(test_items(items, window))
+    terms = tests.select(F.explode("words").alias("term")).distinct()
     index = stored(build_index(docs, terms))
     counts = index.groupBy("term").agg(F.count(F.lit(1)).alias("n"))
-    anchors = stored(_anchors(windows, counts))
-    shifted = index.join(_small(anchors), "term").select(
+    anchors = stored(_anchors(tests, counts))
+    shifted = index.join(small(anchors, "term"), "term").select(
         "key", "item", "anchor", "role", "roles", (F.col("pos") - F.col("offset")).alias("shift")
     )
     aligned = (
@@ -111,11 +105,11 @@ def phrase_matches(docs: DataFrame, items: DataFrame, window: int = WINDOW) -> t
     aligned = stored(aligned)
     wanted = aligned.select("key").distinct()
     texts = docs.select(_key(docs).alias("key"), "text").join(wanted, "key", "left_semi").dropDuplicates(["key"])
-    full = windows.where("start = 0").select("item", "size", F.col("words").alias("test"))
+    full = tests.select("item", "size", F.col("words").alias("test"))
     length = F.size("test")
     pairs = (
         texts.select("key", words_of(F.col("text")).alias("words"))
-        .join(aligned, "key").join(_small(full), "item")
+        .join(aligned, "key").join(small(full, "test"), "item")
         .select("key", "item", "shift", "size", "test", F.when(F.col("shift") >= 0, F.slice("words", F.col("shift") + 1, length)).otherwise(
             F.concat(F.array_repeat(F.lit(""), -F.col("shift")), F.slice("words", F.lit(1), F.greatest(length + F.col("shift"), F.lit(0))))
         ).alias("part"))
