@@ -19,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -200,14 +200,17 @@ def held_out(doc_id: Column, folds: int = 3, fold: int = 1) -> Column:
 
 
 def labelled_segments(docs: DataFrame, labelled: int = LABELLED, segments: int = SEGMENTS) -> list[tuple[str, bytes]]:
-    """Segments of at most `labelled` documents of each language (by hash of their ids); docs has doc_id, text, lang."""
+    """Segments of at most `labelled` documents of each language (by hash, so that rows sharing an id or a text are told apart); docs has doc_id, text, lang."""
     known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().collect()}
     if not counts:
         return []
-    place = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("sample")), F.lit(1_000_000))
-    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(1_000_000 if n <= labelled else int(1_000_000 * labelled / n)))])
-    picked = known.where(place < share[F.col("lang")]).select("lang", "text")
+    place = F.pmod(F.xxhash64("doc_id", "text", F.monotonically_increasing_id()), F.lit(2**40))
+    # half as many again as are wanted on average; of these the first `labelled`
+    share = F.create_map(*[x for k, n in counts.items() for x in (F.lit(k), F.lit(2**40 if n <= labelled else int(2**40 * min(1.0, 1.5 * labelled / n))))])
+    few = known.withColumn("_place", place).where(F.col("_place") < share[F.col("lang")]).select("lang", "text", "_place")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("_place", "text"))
+    picked = few.withColumn("_rank", rank).where(F.col("_rank") <= labelled).select("lang", "text")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

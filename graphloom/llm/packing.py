@@ -224,7 +224,8 @@ def assign_sequences(pieces: DataFrame, size: int = SIZE, shard_pieces: int = SH
             offset[own] = np.concatenate([[0], np.cumsum(lengths[own])[:-1]])
         return table.drop_columns(["_shard"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    spread = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(shards)))
+    # rows that repeat differ by their place in the stored files
+    spread = pieces.withColumn("_shard", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(shards)))
     return spread.groupBy("_shard").applyInArrow(pack, schema)
 
 
