@@ -37,16 +37,17 @@ def register_function(name: str, body: Callable, spark: SparkSession | None = No
     SCALARS[name.lower()] = lambda *args: f"{own}({', '.join(args)})"
 
 
-def register_procedure(name: str, body: Callable, per_node: bool = False, writes: bool = False) -> None:
-    """body(graph, *args) -> rows; per_node: body(graph, ids, *args) with a column source for the id that a row belongs to; writes: body gives (graph, rows)."""
+def register_procedure(name: str, body: Callable, takes: tuple[int, ...] = (), writes: bool = False) -> None:
+    """body(graph, *args) -> rows. takes: the places of arguments that are nodes or relationships; body then gets (graph, ids(source[, target]), *other args)
+    and says by these columns to which ids a row belongs. writes: body gives (graph, rows)."""
     from ..operators import procedures
 
     key = name.lower()
     procedures.PROCEDURES[key] = body
-    procedures.PER_NODE.discard(key)
+    procedures.TAKES.pop(key, None)
     procedures.WRITES.discard(key)
-    if per_node:
-        procedures.PER_NODE.add(key)
+    if takes:
+        procedures.TAKES[key] = takes
     if writes:
         procedures.WRITES.add(key)
 
@@ -58,4 +59,4 @@ def register_alias(name: str, other: str) -> None:
     if other.lower() in SCALARS:
         SCALARS[name.lower()] = SCALARS[other.lower()]
     else:
-        register_procedure(name, procedures.PROCEDURES[other.lower()], other.lower() in procedures.PER_NODE, other.lower() in procedures.WRITES)
+        register_procedure(name, procedures.PROCEDURES[other.lower()], procedures.TAKES.get(other.lower(), ()), other.lower() in procedures.WRITES)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .traversal import both_ways, cut, reach
+from .traversal import both_ways, cut, numbered, reach
 
 
 def degree_centrality(vertices: DataFrame, edges: DataFrame, kind: str = "undirected") -> DataFrame:
@@ -44,25 +44,39 @@ def pagerank(vertices: DataFrame, edges: DataFrame, damping: float = 0.85, max_i
     return ranks
 
 
-def katz_centrality(vertices: DataFrame, edges: DataFrame, alpha: float = 0.2, rounds: int = 20) -> DataFrame:
-    """(node, rank): alpha * sum over in-neighbours + 1."""
-    ranks = vertices.select(F.col("id").alias("node"), F.lit(1.0).alias("rank"))
-    for _ in range(rounds):
+def katz_centrality(vertices: DataFrame, edges: DataFrame, alpha: float = 0.2, epsilon: float = 1e-2, beta: float = 1.0) -> DataFrame:
+    """(node, rank): alpha * sum over in-neighbours + beta, in rounds until no rank moves by epsilon. An alpha for which it does not settle raises."""
+    ranks = cut(vertices.select(F.col("id").alias("node"), F.lit(float(beta)).alias("rank")))
+    least, worse = None, 0
+    while True:
         got = ranks.join(edges, ranks["node"] == edges["src"]).groupBy("dst").agg(F.sum("rank").alias("got"))
-        ranks = cut(vertices.select(F.col("id").alias("node")).join(got, F.col("node") == F.col("dst"), "left").select("node", (F.coalesce("got", F.lit(0.0)) * alpha + 1).alias("rank")))
-    return ranks
-
-
-def hits(vertices: DataFrame, edges: DataFrame, rounds: int = 20) -> DataFrame:
-    """(node, hub, authority), each of sum 1."""
+        new = cut(ranks.withColumnRenamed("rank", "old").join(got, F.col("node") == F.col("dst"), "left").select("node", "old", (F.coalesce("got", F.lit(0.0)) * alpha + beta).alias("rank")))
+        change = new.agg(F.max(F.abs(F.col("rank") - F.col("old")))).first()[0]
+        ranks = new.select("node", "rank")
+        if change is None or change < epsilon:
+            return ranks
+        worse = worse + 1 if least is not None and change >= least else 0
+        least = change if least is None else min(least, change)
+        if worse >= 20:
+            raise ValueError("the ranks do not settle: alpha has to be less than 1 over the greatest eigenvalue")
+
+
+def hits(vertices: DataFrame, edges: DataFrame, rounds: int = 1000, stop: float = 1e-8) -> DataFrame:
+    """(node, hub, authority), each of sum 1; rounds end when no hub moves by stop."""
     hub = vertices.select(F.col("id").alias("node"), F.lit(1.0).alias("hub"))
+    steps = cut(edges.select("src", "dst"))
     for _ in range(rounds):
-        authority = hub.join(edges, hub["node"] == edges["src"]).groupBy("dst").agg(F.sum("hub").alias("a"))
+        authority = hub.join(steps, hub["node"] == steps["src"]).groupBy("dst").agg(F.sum("hub").alias("a"))
         total = authority.agg(F.sum("a").alias("t"))
         authority = authority.crossJoin(F.broadcast(total)).select(F.col("dst").alias("at"), (F.col("a") / F.col("t")).alias("authority"))
-        back = authority.join(edges, authority["at"] == edges["dst"]).groupBy("src").agg(F.sum("authority").alias("h"))
+        back = authority.join(steps, authority["at"] == steps["dst"]).groupBy("src").agg(F.sum("authority").alias("h"))
         total = back.agg(F.sum("h").alias("t"))
-        hub = cut(back.crossJoin(F.broadcast(total)).select(F.col("src").alias("node"), (F.col("h") / F.col("t")).alias("hub")))
+        new = cut(back.crossJoin(F.broadcast(total)).select(F.col("src").alias("node"), (F.col("h") / F.col("t")).alias("hub")))
+        change = new.join(hub.withColumnRenamed("hub", "old"), "node", "full").agg(F.max(F.abs(F.coalesce("hub", F.lit(0.0)) - F.coalesce("old", F.lit(0.0))))).first()[0]
+        hub = new
+        if change is None or change < stop:
+            break
+    authority = cut(authority)
     both = vertices.select(F.col("id").alias("node")).join(hub, "node", "left").join(authority.withColumnRenamed("at", "node"), "node", "left")
     return both.select("node", F.coalesce("hub", F.lit(0.0)).alias("hub"), F.coalesce("authority", F.lit(0.0)).alias("authority"))
 
@@ -110,11 +124,10 @@ def core_number(vertices: DataFrame, edges: DataFrame) -> DataFrame:
     pairs = cut(both_ways(edges.where("src != dst").select("src", "dst")).distinct())
     left, out, k = cut(vertices.select("id")), None, 0
     while not left.isEmpty():
-        degree = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
-        gone = cut(left.join(degree, F.col("id") == F.col("src"), "left").where(F.coalesce("d", F.lit(0)) <= k).select("id"))
-        if gone.isEmpty():
-            k += 1
-            continue
+        counted = pairs.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
+        degree = cut(left.join(counted, F.col("id") == F.col("src"), "left").select("id", F.coalesce("d", F.lit(0)).alias("d")))
+        k = max(k, degree.agg(F.min("d")).first()[0])  # no idle round between two cores
+        gone = degree.where(F.col("d") <= k).select("id")
         done = gone.select(F.col("id").alias("node"), F.lit(k).alias("core"))
         out = done if out is None else out.unionByName(done)
         left = cut(left.join(gone, "id", "left_anti"))
@@ -133,14 +146,22 @@ def neighbour_similarity(edges: DataFrame, kind: str = "jaccard") -> DataFrame:
     return sized.select("node1", "node2", (F.col("c") / below).alias("similarity"))
 
 
-def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int = 5) -> DataFrame:
-    """(node, community_id): each round a node takes the label that most neighbours have; ties go to the least label."""
-    near = cut(both_ways(edges.select("src", "dst")))
-    labels = vertices.select(F.col("id").alias("node"), F.col("id").alias("label"))
-    for _ in range(rounds):
+def label_propagation(vertices: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(node, community_id): a node takes the label that most neighbours have; ties go to its own label, then to the least. Rounds until nothing changes.
+
+    Each pair of rounds deals the nodes into two halves anew, and one half moves in each, so that neighbours do not swap for ever; it ends when neither half
+    of one deal moves.
+    """
+    near = cut(both_ways(edges.select("src", "dst")).where("src != dst"))
+    labels, turn, idle = cut(vertices.select(F.col("id").alias("node"), F.col("id").alias("label"))), 0, 0
+    while (idle < 2 or turn % 2) and (rounds is None or turn < rounds):
+        mine = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
         votes = labels.join(near, labels["node"] == near["src"]).groupBy("dst", "label").agg(F.count(F.lit(1)).alias("n"))
-        best = votes.groupBy("dst").agg(F.max(F.struct("n", (-F.col("label")).alias("m"))).alias("b")).select("dst", (-F.col("b.m")).alias("new"))
-        labels = cut(labels.join(best, labels["node"] == best["dst"], "left").select("node", F.coalesce("new", "label").alias("label")))
+        own = labels.select(F.col("node").alias("dst"), F.col("label").alias("own"))
+        best = votes.join(own, "dst").groupBy("dst").agg(F.max(F.struct("n", (F.col("label") == F.col("own")).alias("stay"), (-F.col("label")).alias("m"))).alias("b")).select("dst", (-F.col("b.m")).alias("new"))
+        moved = cut(labels.join(best, labels["node"] == best["dst"], "left").select("node", F.col("label").alias("old"), F.when(mine, F.coalesce("new", "label")).otherwise(F.col("label")).alias("label")))
+        idle = idle + 1 if moved.where("old != label").isEmpty() else 0
+        labels, turn = moved.select("node", "label"), turn + 1
     return labels.withColumnRenamed("label", "community_id")
 
 
@@ -154,7 +175,10 @@ def topological_sort(vertices: DataFrame, edges: DataFrame) -> DataFrame:
         one = free.select(F.col("id").alias("node"), F.lit(level).alias("level"))
         out = one if out is None else out.unionByName(one)
         left, steps, level = cut(left.join(free, "id", "left_anti")), cut(steps.join(free.withColumnRenamed("id", "src"), "src", "left_anti").select("src", "dst")), level + 1
-    return out.withColumn("place", F.row_number().over(Window.orderBy("level", "node")))
+    if out is None:
+        return vertices.select(F.col("id").alias("node"), F.lit(0).alias("level"), F.lit(0).cast("bigint").alias("place"))
+    sorted_ = out.repartitionByRange("level", "node").sortWithinPartitions("level", "node")
+    return numbered(sorted_, "place", 1)
 
 
 def minimum_spanning_forest(edges: DataFrame) -> DataFrame:
@@ -208,13 +232,20 @@ def vector_search(rows: DataFrame, query: list[float], k: int, column: str = "em
 
 
 def text_search(docs: DataFrame, words: list[str], k: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score): BM25 over an inverted index of the query's words; all documents count for lengths and frequencies."""
+    """(id, score): BM25 over the words of all documents, the k best.
+
+    One pass over the texts gives each document's length and its counts of the query's words; only documents with one are kept, the others count for the mean
+    length and the number of documents by a partial aggregate.
+    """
+    wanted = list(dict.fromkeys(x.lower() for x in words))
     low = F.split(F.lower(F.coalesce(text_col, F.lit(""))), r"[^\p{L}\p{N}]+")
-    terms = docs.select(id_col, F.filter(low, lambda w: w != "").alias("w")).withColumn("n", F.size("w"))
-    stats = terms.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"))
-    hits_of = terms.select(id_col, "n", F.explode(F.filter("w", lambda w: w.isin([x.lower() for x in words]))).alias("term")).groupBy(id_col, "n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = hits_of.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    idf = F.log(1 + (F.col("docs") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("n") / F.col("mean")))
-    scored = hits_of.join(F.broadcast(df), "term").crossJoin(F.broadcast(stats)).groupBy(id_col).agg(F.sum(part).alias("score"))
-    return scored.orderBy(F.desc("score"), id_col).limit(k)
+    terms = docs.select(F.col(id_col), F.filter(low, lambda w: w != "").alias("w"))
+    counts = terms.select(id_col, F.size("w").alias("n"), F.filter("w", lambda w: w.isin(wanted)).alias("hit"))
+    counted = cut(counts.select(id_col, "n", F.when(F.size("hit") > 0, F.transform(F.array(*[F.lit(x) for x in wanted]), lambda x: F.size(F.filter("hit", lambda h: h == x)))).alias("tf")))
+    facts = counted.agg(F.count(F.lit(1)).alias("docs"), F.avg("n").alias("mean"), *[F.count_if(F.get("tf", F.lit(i)) > 0).alias(f"df{i}") for i in range(len(wanted))]).first()
+    part = F.lit(0.0)
+    for i in range(len(wanted)):
+        tf = F.get("tf", F.lit(i))
+        idf = F.log(1 + (F.lit(facts["docs"]) - facts[f"df{i}"] + 0.5) / (F.lit(facts[f"df{i}"]) + 0.5))
+        part = part + idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * F.col("n") / F.lit(facts["mean"] or 1.0)))
+    return counted.where("tf IS NOT NULL").select(id_col, part.alias("score")).orderBy(F.desc("score"), id_col).limit(k)

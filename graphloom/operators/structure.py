@@ -184,20 +184,21 @@ def modularity(edges: DataFrame, communities: DataFrame) -> DataFrame:
     return sums.crossJoin(F.broadcast(whole)).agg((F.first("inside") / F.first("m") - F.sum(F.pow(F.col("k") / (2 * F.col("m")), 2))).alias("modularity"))
 
 
-def louvain(vertices: DataFrame, edges: DataFrame, passes: int = 3, rounds: int = 8) -> DataFrame:
-    """(node, community_id): local moves by modularity gain, then contraction. Only nodes of one half move in a round, so that two never swap."""
+def louvain(vertices: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, community_id): local moves by modularity gain until no node moves, then contraction, until no pass moves any. Only nodes of one half move in a
+    round, so that two never swap; a move has to raise the modularity."""
     weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
     graph = cut(edges.select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), weight.alias("w")).groupBy("src", "dst").agg(F.sum("w").alias("w")))
     member = cut(vertices.select(F.col("id").alias("node"), F.col("id").alias("community_id")))
     m = graph.agg(F.sum("w")).first()[0]
     if not m:
         return member
-    for _ in range(passes):
+    while True:
         near = cut(both_ways(graph.where("src != dst")))
         k = cut(graph.select(F.explode(F.array("src", "dst")).alias("node"), "w").groupBy("node").agg(F.sum("w").alias("k")))
         at = k.select("node", "k", F.col("node").alias("c"))
-        moved, idle = False, 0
-        for turn in range(rounds):
+        moved, idle, turn, whole = False, 0, 0, None
+        while idle < 2 or turn % 2:  # until neither half of one deal moves
             sums = at.groupBy("c").agg(F.sum("k").alias("total"))
             links = near.join(at.select(F.col("node").alias("dst"), "c"), "dst").groupBy(F.col("src").alias("node"), "c").agg(F.sum("w").alias("inner"))
             own = at.select("node", F.col("c").alias("old"), "k")
@@ -205,19 +206,24 @@ def louvain(vertices: DataFrame, edges: DataFrame, passes: int = 3, rounds: int
             offers = links.unionByName(here).groupBy("node", "c").agg(F.sum("inner").alias("inner")).join(own, "node").join(sums, "c")
             gain = F.col("inner") - F.col("k") * (F.col("total") - F.when(F.col("c") == F.col("old"), F.col("k")).otherwise(0.0)) / (2 * m)
             best = offers.groupBy("node", "old", "k").agg(F.max(F.struct(F.round(gain, 9).alias("g"), (F.col("c") == F.col("old")).alias("stay"), (-F.col("c")).alias("m"))).alias("b"))
-            mine = F.pmod(F.xxhash64("node", F.lit(turn)), F.lit(2)) == 0
+            mine = F.pmod(F.xxhash64("node", F.lit(turn // 2)), F.lit(2)) == turn % 2
             new = cut(best.select("node", "k", "old", F.when(mine, -F.col("b.m")).otherwise(F.col("old")).alias("c")))
             at = new.select("node", "k", "c")
             idle = idle + 1 if new.where("old != c").isEmpty() else 0
-            moved = moved or not idle
-            if idle == 2:  # neither half moves
-                break
+            moved, turn = moved or not idle, turn + 1
+            if not idle and turn % 8 == 0:  # many move at once, so the sum of their gains may be a loss: stop when eight rounds gained nothing
+                inner = near.join(at.select(F.col("node").alias("src"), F.col("c").alias("a")), "src").join(at.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst").where("a = b").agg(F.coalesce(F.sum("w"), F.lit(0.0))).first()[0]
+                weights = at.groupBy("c").agg(F.sum("k").alias("t")).agg(F.sum(F.pow(F.col("t"), 2))).first()[0]
+                now = inner / (2 * m) - weights / (4 * m * m)
+                if whole is not None and now <= whole + 1e-9:
+                    break
+                whole = now
         if not moved:
-            break
+            least = member.groupBy("community_id").agg(F.min("node").alias("least"))
+            return cut(member.join(least, "community_id").select("node", F.col("least").alias("community_id")))
         names = cut(at.groupBy("c").agg(F.min("node").alias("name")).join(at.select("node", "c"), "c").select("node", "name"))
         member = cut(member.join(names.withColumnRenamed("node", "community_id"), "community_id", "left").select("node", F.coalesce("name", "community_id").alias("community_id")))
         graph = cut(graph.join(names.toDF("src", "s"), "src").join(names.toDF("dst", "d"), "dst").groupBy(F.least("s", "d").alias("src"), F.greatest("s", "d").alias("dst")).agg(F.sum("w").alias("w")))
-    return member
 
 
 def set_cover(pairs: DataFrame) -> DataFrame:

@@ -4,21 +4,40 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts a loop's lineage by a checkpoint in the folder that the session names. Only a local session may do without one."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not context.master.startswith("local"):
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Only a local session may do without spark.checkpoint.dir."""
+    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not named:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        context.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "graphloom-checkpoints"))
-    return df.checkpoint()
+        named = f"file://{os.path.join(tempfile.gettempdir(), 'graphloom-checkpoints')}"
+    return named.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts a loop's lineage: the rows are written as Parquet into the shared folder and read back.
+
+    Unlike a checkpoint the plan is computed once, and the next plan knows the rows' real size: sizes that are estimated from one round to the next grow
+    without bound. The files go when the JVM ends. What Parquet cannot hold (columns without a type, no columns) is checkpointed.
+    """
+    spark = df.sparkSession
+    if not df.columns or "void" in df.schema.simpleString() or "variant" in df.schema.simpleString():
+        context = spark.sparkContext
+        if context.getCheckpointDir() is None:
+            context.setCheckpointDir(shared_dir(spark))
+        return df.checkpoint()
+    path = f"{shared_dir(spark)}/graphloom-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def numbered(df: DataFrame, name: str, start: Column | int = 0, step: int = 1) -> DataFrame:

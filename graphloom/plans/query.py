@@ -316,29 +316,42 @@ class Compiler:
         name = c.name.lower()
         if name not in procedures.PROCEDURES:
             raise SyntaxError(f"there is no procedure {c.name}")
-        body, keys = procedures.PROCEDURES[name], {}
-        held = names_in(c.args) & set(scope.variables)
-        if name in procedures.PER_NODE and c.args and names_in(c.args[0]) & set(scope.variables):
-            if names_in(c.args[1:]) & set(scope.variables):
-                raise SyntaxError(f"only the first argument of {c.name} may be a variable")
-            x = self.writer(scope).write(c.args[0])
-            sql = f"{x.sql}.id" if x.kind == "node" else x.sql
-            own = self.new_name("key")
-            ids = scope.df.select(F.expr(sql).cast("bigint").alias("id")).dropna().distinct()
-            out = body(self.graph, ids, *[self.constant(a) for a in c.args[1:]]).withColumnRenamed("source", own)
-            keys = {own: f"cast({sql} as bigint)"}
-        elif held:
-            raise SyntaxError(f"the arguments of {c.name} have to be constants")
-        else:
-            args = [self.constant(a) for a in c.args]
-            if name in procedures.PER_NODE:
-                first = args[0] if isinstance(args[0], list) else [args[0]]
-                out = body(self.graph, self.graph.spark.createDataFrame([(int(i),) for i in first], "id bigint"), *args[1:]).drop("source")
-            elif name in procedures.WRITES:
-                graph, out = body(self.graph, *args)
-                self.graph = graph
+        body, places, keys, drop = procedures.PROCEDURES[name], procedures.TAKES.get(name, ()), {}, []
+        places = tuple(i for i in places if i < len(c.args))
+        rest = [a for i, a in enumerate(c.args) if i not in places]
+        if names_in(rest) & set(scope.variables):
+            raise SyntaxError(f"only the nodes and relationships that {c.name} takes may be variables")
+        constants = [self.constant(a) for a in rest]
+        if places:
+            columns = ("source", "target")[: len(places)]
+            if names_in([c.args[i] for i in places]) & set(scope.variables):
+                wide = scope
+                for column, i in zip(columns, places, strict=True):
+                    x = self.writer(wide).write(c.args[i])
+                    own = self.new_name("key")
+                    listed = x.kind == "list"
+                    inner = kind_of(x.type.elementType) if listed else x.kind
+                    sql = (f"explode(transform({x.sql}, n -> n.id))" if inner in ("node", "rel") else f"explode({x.sql})") if listed else f"{x.sql}.id" if inner in ("node", "rel") else x.sql
+                    wide = wide.over(wide.df.select("*", F.expr(sql).cast("bigint").alias(own)) if listed else wide.df.withColumn(own, F.expr(sql).cast("bigint")))
+                    keys[column] = own
+                asked = wide.df.select(*[F.col(k).alias(column) for column, k in keys.items()]).dropna().distinct()
+                scope, drop = wide, list(keys.values())
             else:
-                out = body(self.graph, *args)
+                given = [x if isinstance(x, list) else [x] for x in (self.constant(c.args[i]) for i in places)]
+                pairs = [(int(a),) for a in given[0]] if len(given) == 1 else [(int(a), int(b)) for a in given[0] for b in given[1]]
+                asked = self.graph.spark.createDataFrame(pairs, ", ".join(f"{x} bigint" for x in columns))
+            result = body(self.graph, asked, *constants)
+        else:
+            result = body(self.graph, *constants)
+        if name in procedures.WRITES:
+            self.graph, out = result
+        else:
+            out = result
+        if places:
+            names = {"source": "_source", "target": "_target"} if keys else {}
+            plain = [x for x in ("source", "target")[: len(places)] if x in out.columns and x not in {f for f, _ in c.fields or []}]
+            out = out.withColumnsRenamed({k: v for k, v in names.items() if k in plain}) if keys else out.drop(*plain)
+            keys = {names[k]: f"`{own}`" for k, own in keys.items() if k in plain}
         nodes = dict(scope.keys)
         picked: list[tuple[str, str]] = []
         for field, alias in c.fields or [("*", "*")]:
@@ -357,8 +370,15 @@ class Compiler:
             if kind_of(out.schema[n].dataType) == "node":
                 nodes[n] = frozenset(self.graph.nodes)
         scope = scope.over(self.joined_back(scope, keys, out, "inner").df if keys else self.beside(scope, out), nodes)
+        scope = scope.over(scope.df.drop(*drop)) if drop else scope
+        if name in procedures.WRITES:
+            scope = self.changed(scope)
         return self.filtered(scope, c.where)
 
+    def changed(self, scope: Scope) -> Scope:
+        """The rows after a procedure changed the graph."""
+        return scope
+
     def subquery(self, c: X.Subquery, scope: Scope) -> Scope:
         """CALL { query }: runs over the distinct values of the variables that it takes in; a unit subquery leaves the rows as they are."""
         query, taken = c.query, c.imports

@@ -57,6 +57,9 @@ class Updater(Compiler):
 
     # variables after a change
 
+    def changed(self, scope: Scope) -> Scope:
+        return self.fresh_all(scope)
+
     def fresh_all(self, scope: Scope) -> Scope:
         for var, t in scope.types.items():
             if not var.startswith("_") and kind_of(t) in ("node", "rel"):
