@@ -164,7 +164,10 @@ def cycles(edges: DataFrame, longest: int | None = None, directed: bool = True)
     front, out, hop = cut(steps.select(F.col("src").alias("node")).distinct().select("node", F.array("node").alias("nodes"))), None, 0
     while longest is None or hop < longest:
         hop += 1
-        moved = cut(front.join(steps, front["node"] == steps["src"]).where((F.col("dst") == F.col("nodes")[0]) | ((F.col("dst") > F.col("nodes")[0]) & ~F.array_contains("nodes", F.col("dst")))).select("dst", "nodes"))
+        back = F.col("dst") == F.element_at("nodes", 1)
+        # the last move can only close a cycle, which is a join on both its ends
+        goes = back if hop == longest else back | ((F.col("dst") > F.col("nodes")[0]) & ~F.array_contains("nodes", F.col("dst")))
+        moved = cut(front.join(steps, (front["node"] == steps["src"]) & goes).select("dst", "nodes"))
         closed = moved.where(F.col("dst") == F.col("nodes")[0])
         if not directed:
             closed = closed.where((F.size("nodes") > 2) & (F.try_element_at("nodes", F.lit(2)) < F.element_at("nodes", -1)))
