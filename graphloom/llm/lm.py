@@ -11,8 +11,8 @@ The counts and the training cover all training documents: each bucket of documen
 token of its training documents from the same start, and the buckets' parameters are averaged by Spark, weighted by their
 tokens; PASSES such rounds, each from the averages of the one before.
 
-Documents are dealt over buckets of about BUCKET_CHARS characters. A bucket's distinct tokens fetch their counts by one
-shuffled join, so no vocabulary is held whole in any process.
+Documents are dealt over buckets of about BUCKET_CHARS characters, each one row of token numbers and its own vocabulary. A bucket's
+vocabulary fetches its counts by one shuffled join, so no vocabulary of the corpus is held whole in any process.
 
 Defined results: null text is empty, its only token is the end; rows that repeat count and score each; null ids
 are kept (never held out); without training documents every count is 0; an empty table gives no rows; other columns are not carried.
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 import zlib
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -35,7 +35,7 @@ from .common import stored
 
 OUTPUTS, SHAPES, CONTEXT, DIMENSION = 512, 256, 3, 24
 BUCKET_CHARS = 8_000_000
-PASSES, NOISE, RATE, BATCH = 2, 12, 0.1, 512
+PASSES, NOISE, RATE, BATCH = 2, 64, 0.1, 512
 END = b"\n"  # no word holds it
 
 
@@ -66,7 +66,7 @@ class Classes:
 
 def contexts_of(codes: np.ndarray, start: int) -> np.ndarray:
     """(tokens, CONTEXT): the classes before each token, nearest first."""
-    padded = np.concatenate([np.full(CONTEXT, start), codes])
+    padded = np.concatenate([np.full(CONTEXT, start, dtype=codes.dtype), codes])
     return np.stack([padded[CONTEXT - 1 - k : CONTEXT - 1 - k + len(codes)] for k in range(CONTEXT)], axis=1)
 
 
@@ -78,69 +78,126 @@ def fresh(n: int, logs: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     }
 
 
-def _summed(places: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
-    """(n, columns): the sum of the values of each place. 16-bit places sort by radix."""
+def _sums_into(out: np.ndarray, places: np.ndarray, values: np.ndarray) -> None:
+    """out[p] = the sum of the values of place p, 0 where it does not occur. 16-bit places sort by radix."""
     order = np.argsort(places, kind="stable")
     own = places[order]
-    heads = np.flatnonzero(np.r_[True, own[1:] != own[:-1]])
-    out = np.zeros((n, values.shape[1]), dtype=values.dtype)
-    out[own[heads]] = np.add.reduceat(np.take(values, order, axis=0), heads, axis=0)
-    return out
+    heads = np.flatnonzero(own[1:] != own[:-1])
+    heads += 1
+    heads = np.concatenate([[0], heads])
+    out[:] = 0
+    out[own[heads]] = np.add.reduceat(np.take(values, order, axis=0, mode="clip"), heads, axis=0)
+
+
+def _step(value: np.ndarray, seen: np.ndarray, g: np.ndarray, spare: np.ndarray) -> None:
+    """One AdaGrad step in place."""
+    np.multiply(g, g, out=spare)
+    seen += spare
+    np.sqrt(seen, out=spare)
+    np.divide(g, spare, out=spare)
+    spare *= np.float32(RATE)
+    value -= spare
 
 
 def train_nce(w: dict[str, np.ndarray], codes: np.ndarray, contexts: np.ndarray, noise: np.ndarray, seed: int) -> dict[str, np.ndarray]:
-    """One pass of noise-contrastive AdaGrad steps in 32-bit floats; noise is the classes' unigram distribution."""
+    """One pass of noise-contrastive AdaGrad steps in 32-bit floats; noise is the classes' unigram distribution.
+
+    The tokens of a batch share its NOISE samples, so scores and gradients of the noise are matrix products.
+    """
     real = np.float32
-    rng, w = np.random.default_rng(seed), {k: v.astype(real) for k, v in w.items()}
-    seen = {k: np.full_like(v, 0.1) for k, v in w.items()}
-    order, log_noise, n = rng.permutation(len(codes)), np.log(NOISE * noise).astype(real), len(noise)
+    rng, n = np.random.default_rng(seed), len(noise)
+    r, q, c, b = (w[k].astype(real) for k in "rqcb")
+    state = [(x, np.full_like(x, 0.1), np.empty_like(x), np.empty_like(x)) for x in (r, q, c, b)]
+    g_r, g_q, g_c, g_b = (x[2] for x in state)
+    log_noise = np.log(NOISE * noise).astype(real)
+    order = rng.permutation(len(codes))
+    codes, contexts = codes[order].astype(np.int16), np.ascontiguousarray(contexts[order].astype(np.int16).T)  # (places, tokens)
     cumulative = np.cumsum(noise)
-    for at in range(0, len(order), BATCH):
-        own = order[at : at + BATCH]
-        ctx, size = contexts[own].astype(np.int16), len(own)
-        fake = np.minimum(np.searchsorted(cumulative, rng.random((size, NOISE)) * cumulative[-1]), n - 1)
-        picked = np.concatenate([codes[own][:, None], fake], axis=1).astype(np.int16)
-        r = np.take(w["r"], ctx, axis=0)
-        p = (r * w["c"]).sum(1)
-        q = np.take(w["q"], picked, axis=0)
-        delta = 1 / (1 + np.exp(-np.clip(np.matmul(q, p[:, :, None])[:, :, 0] + np.take(w["b"] - log_noise, picked), -30, 30)))
-        delta[:, 0] -= 1
-        dp = np.matmul(delta[:, None, :], q)[:, 0]
-        sides = np.concatenate([p, np.ones((size, 1), dtype=real)], axis=1)  # the last column is for the bias
-        one = _summed(picked.ravel(), (delta[:, :, None] * sides[:, None, :]).reshape(-1, DIMENSION + 1), n) / size
-        dr = dp[:, None, :] * (w["c"] / real(size))
-        grad = {"q": one[:, :DIMENSION], "b": one[:, DIMENSION], "c": (r * dp[:, None, :]).sum(0) / size, "r": _summed(ctx.ravel(), dr.reshape(-1, DIMENSION), n + 1)}
-        for k in w:
-            g = grad[k] * real(size ** 0.5)
-            seen[k] += g * g
-            w[k] -= real(RATE) * g / np.sqrt(seen[k])
-    return w
-
-
-def log_normalised(w: dict[str, np.ndarray], contexts: np.ndarray, codes: np.ndarray, rows: int = 512) -> np.ndarray:
+    one = np.ones(BATCH, dtype=real)
+    fakes = np.minimum(np.searchsorted(cumulative, rng.random((-(-len(codes) // BATCH), NOISE)) * cumulative[-1]), n - 1).astype(np.int16)
+    p_all, d_all = np.empty((BATCH, DIMENSION), dtype=real), np.empty((BATCH, NOISE), dtype=real)
+    spare_all, q_sides, r_sides = np.empty((BATCH, DIMENSION), dtype=real), np.empty((BATCH + NOISE, DIMENSION), dtype=real), np.empty((CONTEXT, BATCH, DIMENSION), dtype=real)
+    for at in range(0, len(codes), BATCH):
+        true, fake = codes[at : at + BATCH], fakes[at // BATCH]
+        size = len(true)
+        ctx, p, d, spare, sides = contexts[:, at : at + size], p_all[:size], d_all[:size], spare_all[:size], q_sides[: size + NOISE]
+        before = np.take(r, ctx, axis=0, mode="clip")  # (places, tokens, dimensions)
+        np.multiply(before[0], c[0], out=p)
+        for k in range(1, CONTEXT):
+            np.multiply(before[k], c[k], out=spare)
+            p += spare
+        q_true, q_fake = np.take(q, true, axis=0, mode="clip"), np.take(q, fake, axis=0, mode="clip")
+        # the chance that a token is noise, for the true ones less 1: the gradients of the scores
+        d_true = np.einsum("id,id->i", p, q_true)
+        d_true += np.take(b - log_noise, true)
+        np.matmul(p, q_fake.T, out=d)
+        d += np.take(b - log_noise, fake)
+        for x in (d_true, d):
+            np.maximum(x, -80, out=x)  # exp stays finite
+            np.negative(x, out=x)
+            np.exp(x, out=x)
+            x += 1
+            np.reciprocal(x, out=x)
+        d_true -= 1
+        scale = real(1 / size ** 0.5)  # the mean over the batch times its root
+        d_true *= scale
+        d *= scale
+        np.multiply(p, d_true[:, None], out=sides[:size])
+        np.matmul(d.T, p, out=sides[size:])
+        both = np.concatenate([true, fake])
+        _sums_into(g_q, both, sides)
+        g_b[:] = np.bincount(both, np.concatenate([d_true, one[:size] @ d]), n)
+        np.matmul(d, q_fake, out=spare)
+        q_true *= d_true[:, None]
+        spare += q_true  # the gradient of each prediction
+        own = r_sides[:, :size] if size < BATCH else r_sides
+        for k in range(CONTEXT):
+            np.multiply(spare, c[k], out=own[k])
+            g_c[k] = np.einsum("id,id->d", before[k], spare)
+        _sums_into(g_r, ctx.ravel(), own.reshape(-1, DIMENSION))
+        for value, seen, g, room in state:
+            _step(value, seen, g, room)
+    return {"r": r, "q": q, "c": c, "b": b}
+
+
+def log_normalised(w: dict[str, np.ndarray], contexts: np.ndarray, codes: np.ndarray, rows: int = 256) -> np.ndarray:
     """log10 P(class | context) for each place; equal (context) rows are normalised once. Contexts may have fewer places than the model."""
     if not len(codes):
         return np.zeros(0)
     n = len(w["b"]) + 1
     places = contexts.shape[1]
-    packed = contexts @ np.array([n**k for k in range(places)])
-    order = np.argsort(packed, kind="stable")
-    heads = np.flatnonzero(np.r_[True, packed[order][1:] != packed[order][:-1]])
-    group = np.empty(len(codes), dtype=np.int64)
-    group[order] = np.cumsum(np.r_[0, packed[order][1:] != packed[order][:-1]])
+    packed = contexts[:, 0].astype(np.int64)
+    for k in range(1, places):
+        packed += contexts[:, k].astype(np.int64) * n**k
+    order = np.argsort(packed, kind="stable").astype(np.int32)
+    packed = packed[order]
+    changes = np.r_[False, packed[1:] != packed[:-1]]
+    heads = np.flatnonzero(np.r_[True, changes[1:]])
+    group = np.empty(len(codes), dtype=np.int32)
+    group[order] = np.cumsum(changes, dtype=np.int32)
+    del packed, changes
     own = contexts[order[heads]]
-    r, c, q, b = (x.astype(np.float32) for x in (w["r"], w["c"][:places], w["q"].T, w["b"]))
+    r, c = w["r"].astype(np.float32), w["c"][:places].astype(np.float32)
+    q = np.ascontiguousarray(np.concatenate([w["q"], w["b"][:, None]], axis=1).T.astype(np.float32))  # the last row is the bias
     out = np.empty(len(codes))
     bounds = np.r_[heads, len(codes)]
+    reach, p_all, z_all = np.sqrt((q[:-1] ** 2).sum(0).max()), np.ones((rows, DIMENSION + 1), dtype=np.float32), np.empty((rows, n - 1), dtype=np.float32)
     for at in range(0, len(own), rows):
-        p = (r[own[at : at + rows]] * c).sum(1)
-        z = p @ q + b
+        part = own[at : at + rows]
+        p, z = p_all[: len(part)], z_all[: len(part)]
+        np.einsum("ikd,kd->id", np.take(r, part, axis=0), c, out=p[:, :DIMENSION])
+        np.matmul(p, q, out=z)
         inside = order[bounds[at] : bounds[min(at + rows, len(own))]]
         mine = group[inside] - at
-        own_z, top = z[mine, codes[inside]], z.max(1, keepdims=True)
-        z -= top
+        own_z = z[mine, codes[inside]]
+        # no score can overflow if the longest vectors' product cannot
+        far = np.sqrt((p[:, :DIMENSION] ** 2).sum(1).max()) * reach + np.abs(q[-1]).max() > 80
+        top = z.max(1, keepdims=True) if far else None
+        if far:
+            z -= top
         np.exp(z, out=z)
-        out[inside] = own_z - (top[:, 0] + np.log(z.sum(1)))[mine]
+        total = np.log(z @ np.ones(n - 1, dtype=np.float32))
+        out[inside] = own_z - (total + top[:, 0] if far else total)[mine]
     return out / math.log(10)
 
 
@@ -158,112 +215,149 @@ def _whole(flat: np.ndarray, n: int) -> dict[str, np.ndarray]:
 
 
 def _bucketed(docs: DataFrame) -> DataFrame:
+    """Rows dealt over buckets by a number of their own, so that rows that repeat spread too; a scan of files numbers them alike when it is read again."""
     chars = docs.agg(F.sum(F.char_length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-chars // BUCKET_CHARS))
-    text = F.coalesce("text", F.lit(""))
-    # the hash of the text deals out rows that share an id
-    return docs.select(
-        F.pmod(F.xxhash64("doc_id", F.xxhash64("text")), F.lit(buckets)).alias("bucket"), "doc_id", held_out(F.col("doc_id")).alias("out"), text.alias("text")
-    )
+    row = F.xxhash64("doc_id", F.monotonically_increasing_id())
+    return docs.select(F.pmod(row, F.lit(buckets)).alias("bucket"), "doc_id", held_out(F.col("doc_id")).alias("out"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def _counted(rows: DataFrame) -> DataFrame:
-    """(bucket, token, n): occurrences in the bucket's training documents; tokens of held-out documents come with 0."""
-    def run(table: pa.Table) -> pa.Table:
-        found: Counter[bytes] = Counter()
-        for out, text in zip(table.column("out").to_pylist(), table.column("text"), strict=True):
-            own = tokens_of(text.as_py())
-            if out:
-                found.update(dict.fromkeys(own, 0))
-            else:
-                found.update(own)
-        bucket = table.column("bucket")[0].as_py()
-        return pa.table({"bucket": pa.array([bucket] * len(found), pa.int64()), "token": pa.array(list(found), pa.binary()), "n": pa.array(list(found.values()), pa.int64())})
+def _indexed(rows: DataFrame) -> DataFrame:
+    """One row a bucket: its documents' ids, folds and lengths, the numbers of all their tokens end to end, and the bucket's own vocabulary with training counts.
 
-    return rows.groupBy("bucket").applyInArrow(run, "bucket bigint, token binary, n bigint")
+    Texts are split here once; training and scoring read numbers only, and no document is shuffled again for a pass.
+    """
+    schema = T.StructType([
+        T.StructField("bucket", T.LongType()), T.StructField("doc_ids", T.ArrayType(rows.schema["doc_id"].dataType)), T.StructField("outs", T.ArrayType(T.BooleanType())),
+        T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("ids", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.BinaryType())), T.StructField("ns", T.ArrayType(T.LongType())),
+    ])
 
-
-def _coded(rows: DataFrame, classes: Classes) -> DataFrame:
-    """(bucket, codes): the 16-bit classes of each document's tokens, so that the passes neither split texts again nor shuffle them."""
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(table: pa.Table) -> pa.Table:
+        vocabulary: defaultdict[bytes, int] = defaultdict()
+        vocabulary.default_factory = vocabulary.__len__
+        number, ids = vocabulary.__getitem__, []
+        for text in table.column("text"):
+            own = tokens_of(text.as_py())
+            ids.append(np.fromiter(map(number, own), dtype=np.int32, count=len(own)))
+        outs = np.array(table.column("out").to_pylist(), dtype=bool)
+        ns = np.zeros(len(vocabulary), dtype=np.int64)
+        for out, own in zip(outs, ids, strict=True):
+            if not out:
+                ns += np.bincount(own, minlength=len(ns)) if len(own) * 8 > len(ns) else 0
+                if len(own) * 8 <= len(ns):
+                    np.add.at(ns, own, 1)
+        doc_ids = table.column("doc_id").combine_chunks()
+        return pa.table({
+            "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int64()), "doc_ids": pa.ListArray.from_arrays([0, len(ids)], doc_ids if isinstance(doc_ids, pa.Array) else doc_ids.chunk(0)),
+            "outs": pa.array([outs.tolist()], pa.list_(pa.bool_())), "sizes": pa.array([[len(x) for x in ids]], pa.list_(pa.int64())),
+            "ids": pa.array([_packed(np.concatenate(ids))], pa.binary()), "tokens": pa.array([list(vocabulary)], pa.list_(pa.binary())), "ns": pa.array([ns.tolist()], pa.list_(pa.int64())),
+        })
+
+    return rows.groupBy("bucket").applyInArrow(run, schema)
+
+
+def _packed(ids: np.ndarray) -> bytes:
+    """32-bit numbers as four planes of bytes: the high ones are nearly all zeros and take no room once they are compressed."""
+    return ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _unpacked(planes: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<i4").ravel()
+
+
+def _training(row: dict, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
+    """Classes and contexts of the training tokens of a bucket's row."""
+    of = classes.codes(row["tokens"], {}).astype(np.int16)
+    every = of[_unpacked(row["ids"])]
+    ends = np.cumsum(row["sizes"])
+    kept = [every[end - size : end] for size, end, out in zip(row["sizes"], ends, row["outs"], strict=True) if not out]
+    if not kept:
+        return np.zeros(0, dtype=np.int16), np.zeros((0, CONTEXT), dtype=np.int16)
+    return np.concatenate(kept), np.concatenate([contexts_of(c, classes.start).astype(np.int16) for c in kept])
+
+
+def _fit(begun: dict[str, np.ndarray], classes: Classes, noise: np.ndarray, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For the buckets of a partition: the sum of their parameters after a pass from begun, each times the bucket's tokens, and these."""
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, size = None, 0
         for batch in batches:
-            memo: dict[bytes, int] = {}
-            codes = [classes.codes(tokens_of(t.as_py()), memo).astype("<i2").tobytes() for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("bucket"), pa.array(codes, pa.binary())], names=["bucket", "codes"])
-
-    return rows.select("bucket", "text").mapInArrow(run, "bucket bigint, codes binary")
+            for i in range(batch.num_rows):
+                codes, contexts = _training(batch.slice(i, 1).to_pylist()[0], classes)
+                if len(codes):
+                    flat = np.array(_parts(train_nce(begun, codes, contexts, noise, seed))) * len(codes)
+                    total, size = flat if total is None else total + flat, size + len(codes)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total), pa.array(np.full(len(total), size))], names=["place", "value", "size"])
 
+    return fit
 
-def _fit(begun: dict[str, np.ndarray], classes: Classes, noise: np.ndarray, seed: int) -> Callable[[pa.Table], pa.Table]:
-    """For a bucket's documents: the parameters after a pass from begun, each times the bucket's tokens, and these."""
-    def fit(table: pa.Table) -> pa.Table:
-        codes = [np.frombuffer(x.as_py(), dtype="<i2") for x in table.column("codes")]
-        contexts = np.concatenate([contexts_of(c, classes.start).astype(np.int16) for c in codes])
-        done = train_nce(begun, np.concatenate(codes), contexts, noise, seed)
-        size, flat = sum(map(len, codes)), np.array(_parts(done))
-        return pa.table({"place": pa.array(np.arange(len(flat))), "value": pa.array(flat * size), "size": pa.array(np.full(len(flat), size))})
 
-    return fit
+def train(indexed: DataFrame, classes: Classes, noise: np.ndarray) -> dict[str, np.ndarray]:
+    """PASSES rounds over all training tokens: each bucket goes on from the last round's averages."""
+    weights = fresh(classes.n, np.log(noise))
+    for turn in range(PASSES):
+        fitted = indexed.select("sizes", "outs", "ids", "tokens").mapInArrow(_fit(weights, classes, noise, 11 + turn), "place bigint, value double, size bigint")
+        found = fitted.groupBy("place").agg((F.sum("value") / F.sum("size")).alias("value")).toArrow()  # as many rows as the model has parameters
+        if found.num_rows:
+            flat = np.empty(found.num_rows)
+            flat[found.column("place").to_numpy()] = found.column("value").to_numpy()
+            weights = _whole(flat, classes.n)
+    return weights
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for each row of docs(doc_id, text)."""
-    rows = _bucketed(docs)
-    counted = stored(_counted(rows))
-    totals = stored(counted.groupBy("token").agg(F.sum("n").alias("c"), F.count(F.lit(1)).alias("buckets")))
+    indexed = stored(_indexed(_bucketed(docs)))
+    words = indexed.select("bucket", F.posexplode(F.arrays_zip("tokens", "ns")).alias("place", "t")).select("bucket", "place", "t.tokens", "t.ns")
+    totals = stored(words.groupBy(F.col("tokens").alias("token")).agg(F.sum("ns").alias("c")))
     known = totals.where("c > 0")
     n_all, v_all = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
     frequent = [bytes(r["token"]) for r in known.orderBy(F.desc("c"), "token").limit(OUTPUTS).collect()]
     classes = Classes(frequent)
 
     def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((classes.n, 2), dtype=np.int64)
         for batch in batches:
-            sums = np.zeros((classes.n, 2), dtype=np.int64)
             codes = classes.codes(batch.column(0).to_pylist(), {})
             np.add.at(sums, codes, np.stack([batch.column(1).to_numpy(), np.ones(len(codes), dtype=np.int64)], axis=1))
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes.n)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["class", "n", "v"])
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes.n)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["class", "n", "v"])
 
     sums = known.select("token", "c").mapInArrow(classed, "class bigint, n bigint, v bigint").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
     class_n, class_v = np.zeros(classes.n), np.zeros(classes.n)
     for r in sums.collect():  # one row a class
         class_n[r["class"]], class_v[r["class"]] = r["n"], r["v"]
     noise = (class_n + 1) / (class_n + 1).sum()
-    weights = fresh(classes.n, np.log(noise))
-
-    coded = stored(_coded(rows.where(~F.col("out")), classes))
-    for turn in range(PASSES):
-        fitted = coded.groupBy("bucket").applyInArrow(_fit(weights, classes, noise, 11 + turn), "place bigint, value double, size bigint")
-        found = fitted.groupBy("place").agg((F.sum("value") / F.sum("size")).alias("value")).toArrow()  # as many rows as the model has parameters
-        if found.num_rows:
-            flat = np.empty(found.num_rows)
-            flat[found.column("place").to_numpy()] = found.column("value").to_numpy()
-            weights = _whole(flat, classes.n)
-
-    fetched = counted.select("bucket", "token").join(totals, "token").select("bucket", "token", "c")
+    weights = train(indexed, classes, noise)
+
+    # the corpus counts and classes of each bucket's vocabulary, in its own order
+    ranks = docs.sparkSession.createDataFrame([(bytearray(t), i) for i, t in enumerate(frequent)], "token binary, rank int")
+    shape = F.crc32(F.substring("token", -2, 2)) % SHAPES + len(frequent)
+    coded = totals.join(F.broadcast(ranks), "token", "left").select("token", "c", F.coalesce("rank", shape).cast("int").alias("code"))
+    placed = words.select("bucket", "place", F.col("tokens").alias("token")).join(coded, "token").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("place", "c", "code"))).alias("s"))
+    fetched = placed.select("bucket", F.transform("s", lambda s: s["c"]).alias("cs"), F.transform("s", lambda s: s["code"]).alias("codes"))
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, k) for n, k in (
         ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()),
         ("base_score", T.DoubleType()), ("score", T.DoubleType()))]])
     base = math.log10(n_all + v_all + 1)
     log_room = np.log10(class_n + class_v + 1)
 
-    def score(texts: pa.Table, counts: pa.Table) -> pa.Table:
-        c = dict(zip(counts.column("token").to_pylist(), counts.column("c").to_pylist(), strict=True))
-        numbers = {t: i for i, t in enumerate(c)}
-        seen = np.fromiter(c.values(), dtype=np.float64, count=len(c))
-        logs, code_of = np.log10(seen + 1), classes.codes(list(c), {})
-        sizes, ids = [], []
-        for text in texts.column("text"):
-            own = tokens_of(text.as_py())
-            sizes.append(len(own))
-            ids.append(np.array([numbers[t] for t in own], dtype=np.int32))
-        contexts = np.concatenate([contexts_of(code_of[x], classes.start).astype(np.int16) for x in ids]).astype(np.int64)
-        every, heads = np.concatenate(ids), np.cumsum([0, *sizes[:-1]])
-        codes = code_of[every]
-        inner = np.where(codes < classes.frequent, 0.0, logs[every] - log_room[codes])
-        model = np.add.reduceat(log_normalised(weights, contexts, codes) + inner, heads)
-        return pa.table([
-            texts.column("doc_id"), texts.column("out"), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((seen[every] > 0).astype(np.int64), heads)),
-            pa.array([n_all] * len(sizes), pa.int64()), pa.array(np.add.reduceat(logs[every], heads) - base * np.array(sizes)), pa.array(model),
-        ], names=[f.name for f in schema.fields])
-
-    return rows.groupBy("bucket").cogroup(fetched.groupBy("bucket")).applyInArrow(score, schema)
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                one = batch.slice(i, 1)
+                row = one.select(["outs", "sizes", "ids"]).to_pylist()[0]
+                seen, code_of = one.column("cs").flatten().to_numpy().astype(np.float64), one.column("codes").flatten().to_numpy().astype(np.int16)
+                logs = np.log10(seen + 1)
+                inner = np.where(code_of < classes.frequent, 0.0, logs - log_room[code_of])
+                every, sizes = _unpacked(row["ids"]), np.array(row["sizes"])
+                ends = np.cumsum(sizes)
+                codes = code_of[every]
+                contexts = np.concatenate([contexts_of(codes[e - n : e], np.int16(classes.start)) for n, e in zip(sizes, ends, strict=True)])
+                heads = ends - sizes
+                model = np.add.reduceat(log_normalised(weights, contexts, codes) + inner[every], heads)
+                yield pa.RecordBatch.from_arrays([
+                    one.column("doc_ids").flatten(), pa.array(row["outs"]), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((seen > 0)[every].astype(np.int64), heads)),
+                    pa.array(np.full(len(sizes), n_all, dtype=np.int64)), pa.array(np.add.reduceat(logs[every], heads) - base * sizes), pa.array(model),
+                ], names=[f.name for f in schema.fields])
+
+    return indexed.select("bucket", "doc_ids", "outs", "sizes", "ids").join(fetched, "bucket").drop("bucket").mapInArrow(score, schema)
