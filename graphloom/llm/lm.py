@@ -11,8 +11,9 @@ The counts and the training cover all training documents: each bucket of documen
 token of its training documents from the same start, and the buckets' parameters are averaged by Spark, weighted by their
 tokens; PASSES such rounds, each from the averages of the one before.
 
-Documents are dealt over buckets of about BUCKET_CHARS characters, each one row of token numbers and its own vocabulary. A bucket's
-vocabulary fetches its counts by one shuffled join, so no vocabulary of the corpus is held whole in any process.
+Documents are dealt over buckets of about BUCKET_CHARS characters, each one row of token numbers and its own vocabulary. Vocabularies meet
+in shards by a hash of the token, which add up the buckets' counts and send each bucket its own back, so no vocabulary of the corpus
+is held whole in any process, and Spark moves a few blocks of bytes for a bucket instead of a row for each of its tokens.
 
 Defined results: null text is empty, its only token is the end; rows that repeat count and score each; null ids
 are kept (never held out); without training documents every count is 0; an empty table gives no rows; other columns are not carried.
@@ -20,6 +21,7 @@ are kept (never held out); without training documents every count is 0; an empty
 
 from __future__ import annotations
 
+import heapq
 import math
 import zlib
 from collections import defaultdict
@@ -36,7 +38,8 @@ from .common import stored
 OUTPUTS, SHAPES, CONTEXT, DIMENSION = 512, 256, 3, 24
 BUCKET_CHARS = 8_000_000
 PASSES, NOISE, RATE, BATCH = 2, 64, 0.1, 512
-END = b"\n"  # no word holds it
+END, BETWEEN = b"\n", b" "  # no word holds them
+SHARD_BUCKETS = 8  # a shard of the vocabularies is about as large as those of so many buckets
 
 
 def held_out(doc_id: Column, folds: int = 7, fold: int = 2) -> Column:
@@ -47,6 +50,10 @@ def tokens_of(text: str | None) -> list[bytes]:
     return [*(text or "").encode("utf-8", "replace").lower().split(), END]
 
 
+def shape(token: bytes) -> int:
+    return zlib.crc32(token[-2:]) % SHAPES
+
+
 class Classes:
     """Class of a token: its rank among the frequent ones, or OUTPUTS + a rule on its spelling. The class after the last stands for the start."""
 
@@ -58,7 +65,7 @@ class Classes:
 
     def of(self, token: bytes) -> int:
         got = self.rank.get(token)
-        return self.frequent + zlib.crc32(token[-2:]) % SHAPES if got is None else got
+        return self.frequent + shape(token) if got is None else got
 
     def codes(self, tokens: list[bytes], memo: dict[bytes, int]) -> np.ndarray:
         return np.array([memo[t] if t in memo else memo.setdefault(t, self.of(t)) for t in tokens], dtype=np.int64)
@@ -70,6 +77,16 @@ def contexts_of(codes: np.ndarray, start: int) -> np.ndarray:
     return np.stack([padded[CONTEXT - 1 - k : CONTEXT - 1 - k + len(codes)] for k in range(CONTEXT)], axis=1)
 
 
+def contexts_in(codes: np.ndarray, sizes: np.ndarray, start: int) -> np.ndarray:
+    """contexts_of documents that stand end to end."""
+    out, heads = np.full((len(codes), CONTEXT), start, dtype=codes.dtype), np.cumsum(sizes) - sizes
+    for k in range(CONTEXT):
+        out[k + 1 :, k] = codes[: max(0, len(codes) - k - 1)]
+        for j in range(k + 1):
+            out[heads[sizes > j] + j, k] = start
+    return out
+
+
 def fresh(n: int, logs: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     rng = np.random.default_rng(seed)
     return {
@@ -78,126 +95,126 @@ def fresh(n: int, logs: np.ndarray, seed: int = 5) -> dict[str, np.ndarray]:
     }
 
 
-def _sums_into(out: np.ndarray, places: np.ndarray, values: np.ndarray) -> None:
-    """out[p] = the sum of the values of place p, 0 where it does not occur. 16-bit places sort by radix."""
+def _sums_into(out: np.ndarray, places: np.ndarray, values: np.ndarray, room: np.ndarray) -> None:
+    """out[p] = the sum of the values of place p, 0 where it does not occur. 16-bit places sort by radix; pairs of columns add up as complex numbers."""
     order = np.argsort(places, kind="stable")
     own = places[order]
     heads = np.flatnonzero(own[1:] != own[:-1])
     heads += 1
     heads = np.concatenate([[0], heads])
+    ordered = np.take(values, order, axis=0, mode="clip", out=room[: len(order)])
+    whole = np.dtype((np.void, out.shape[1] * out.itemsize))  # a row is copied as one item
     out[:] = 0
-    out[own[heads]] = np.add.reduceat(np.take(values, order, axis=0, mode="clip"), heads, axis=0)
-
-
-def _step(value: np.ndarray, seen: np.ndarray, g: np.ndarray, spare: np.ndarray) -> None:
-    """One AdaGrad step in place."""
-    np.multiply(g, g, out=spare)
-    seen += spare
-    np.sqrt(seen, out=spare)
-    np.divide(g, spare, out=spare)
-    spare *= np.float32(RATE)
-    value -= spare
+    out.view(whole)[:, 0][own[heads]] = np.add.reduceat(ordered.view(np.complex64), heads, axis=0).view(whole)[:, 0]
 
 
 def train_nce(w: dict[str, np.ndarray], codes: np.ndarray, contexts: np.ndarray, noise: np.ndarray, seed: int) -> dict[str, np.ndarray]:
     """One pass of noise-contrastive AdaGrad steps in 32-bit floats; noise is the classes' unigram distribution.
 
-    The tokens of a batch share its NOISE samples, so scores and gradients of the noise are matrix products.
+    The tokens of a batch share its NOISE samples, so scores and gradients of the noise are matrix products. All vectors are rows of
+    one table: of the contexts (and two zeros), then of the classes (and the bias and the noise's logarithm, which a prediction's
+    last coordinates 1 and -1 add and take away). So a batch is read by one take, its gradients are summed by one sort, and one step follows.
     """
-    real = np.float32
+    real, wide = np.float32, DIMENSION + 2
     rng, n = np.random.default_rng(seed), len(noise)
-    r, q, c, b = (w[k].astype(real) for k in "rqcb")
-    state = [(x, np.full_like(x, 0.1), np.empty_like(x), np.empty_like(x)) for x in (r, q, c, b)]
-    g_r, g_q, g_c, g_b = (x[2] for x in state)
-    log_noise = np.log(NOISE * noise).astype(real)
+    flat = np.zeros((2 * n + 1) * wide + CONTEXT * DIMENSION, dtype=real)
+    seen, g, spare = np.full_like(flat, 0.1), np.zeros_like(flat), np.empty_like(flat)
+
+    def parts(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return x[: -CONTEXT * DIMENSION].reshape(2 * n + 1, wide), x[-CONTEXT * DIMENSION :].reshape(CONTEXT, DIMENSION)
+
+    (rows, c), (g_rows, g_c) = parts(flat), parts(g)
+    rows[: n + 1, :DIMENSION], rows[n + 1 :, :DIMENSION], rows[n + 1 :, DIMENSION], c[:] = w["r"], w["q"], w["b"], w["c"]
+    rows[n + 1 :, DIMENSION + 1] = np.log(NOISE * noise)
     order = rng.permutation(len(codes))
-    codes, contexts = codes[order].astype(np.int16), np.ascontiguousarray(contexts[order].astype(np.int16).T)  # (places, tokens)
+    codes, contexts = codes[order].astype(np.int16), contexts[order].astype(np.int16)
     cumulative = np.cumsum(noise)
-    one = np.ones(BATCH, dtype=real)
     fakes = np.minimum(np.searchsorted(cumulative, rng.random((-(-len(codes) // BATCH), NOISE)) * cumulative[-1]), n - 1).astype(np.int16)
-    p_all, d_all = np.empty((BATCH, DIMENSION), dtype=real), np.empty((BATCH, NOISE), dtype=real)
-    spare_all, q_sides, r_sides = np.empty((BATCH, DIMENSION), dtype=real), np.empty((BATCH + NOISE, DIMENSION), dtype=real), np.empty((CONTEXT, BATCH, DIMENSION), dtype=real)
-    for at in range(0, len(codes), BATCH):
-        true, fake = codes[at : at + BATCH], fakes[at // BATCH]
-        size = len(true)
-        ctx, p, d, spare, sides = contexts[:, at : at + size], p_all[:size], d_all[:size], spare_all[:size], q_sides[: size + NOISE]
-        before = np.take(r, ctx, axis=0, mode="clip")  # (places, tokens, dimensions)
-        np.multiply(before[0], c[0], out=p)
-        for k in range(1, CONTEXT):
-            np.multiply(before[k], c[k], out=spare)
-            p += spare
-        q_true, q_fake = np.take(q, true, axis=0, mode="clip"), np.take(q, fake, axis=0, mode="clip")
-        # the chance that a token is noise, for the true ones less 1: the gradients of the scores
-        d_true = np.einsum("id,id->i", p, q_true)
-        d_true += np.take(b - log_noise, true)
-        np.matmul(p, q_fake.T, out=d)
-        d += np.take(b - log_noise, fake)
-        for x in (d_true, d):
-            np.maximum(x, -80, out=x)  # exp stays finite
-            np.negative(x, out=x)
-            np.exp(x, out=x)
-            x += 1
-            np.reciprocal(x, out=x)
-        d_true -= 1
-        scale = real(1 / size ** 0.5)  # the mean over the batch times its root
-        d_true *= scale
-        d *= scale
-        np.multiply(p, d_true[:, None], out=sides[:size])
-        np.matmul(d.T, p, out=sides[size:])
-        both = np.concatenate([true, fake])
-        _sums_into(g_q, both, sides)
-        g_b[:] = np.bincount(both, np.concatenate([d_true, one[:size] @ d]), n)
-        np.matmul(d, q_fake, out=spare)
-        q_true *= d_true[:, None]
-        spare += q_true  # the gradient of each prediction
-        own = r_sides[:, :size] if size < BATCH else r_sides
-        for k in range(CONTEXT):
-            np.multiply(spare, c[k], out=own[k])
-            g_c[k] = np.einsum("id,id->d", before[k], spare)
-        _sums_into(g_r, ctx.ravel(), own.reshape(-1, DIMENSION))
-        for value, seen, g, room in state:
-            _step(value, seen, g, room)
-    return {"r": r, "q": q, "c": c, "b": b}
+    codes += np.int16(n + 1)
+    fakes += np.int16(n + 1)
+    p_all, d_all, pull_all = np.ones((BATCH, wide), dtype=real), np.empty(BATCH * (NOISE + 1), dtype=real), np.empty((BATCH, DIMENSION), dtype=real)
+    p_all[:, DIMENSION + 1] = -1
+    most = BATCH * (CONTEXT + 1) + NOISE
+    read_all, sides_all, room = (np.empty((most, wide), dtype=real) for _ in range(3))
+    mixer, diagonal = np.zeros((CONTEXT, wide, DIMENSION), dtype=real), np.arange(DIMENSION)
+    mix = mixer.reshape(CONTEXT * wide, DIMENSION)  # adds up a token's context vectors, each weighted by its place
+    with np.errstate(over="ignore"):  # 1 / (1 + inf) is the 0 it should be
+        for at in range(0, len(codes), BATCH):
+            size = len(codes[at : at + BATCH])
+            places = np.concatenate([contexts[at : at + size].ravel(), codes[at : at + size], fakes[at // BATCH]])
+            mid, end = size * CONTEXT, size * (CONTEXT + 1)
+            read, sides = np.take(rows, places, axis=0, mode="clip", out=read_all[: len(places)]), sides_all[: len(places)]
+            before, q_true, q_fake, p, pull = read[:mid].reshape(size, -1), read[mid:end], read[end:], p_all[:size], pull_all[:size]
+            mixer[:, diagonal, diagonal] = c
+            np.matmul(before, mix, out=p[:, :DIMENSION])
+            # the chance that a token is noise, for the true ones less 1: the gradients of the scores
+            both = d_all[: size * (NOISE + 1)]
+            d, d_true = both[: size * NOISE].reshape(size, NOISE), both[size * NOISE :]
+            np.matmul(p, q_fake.T, out=d)
+            np.einsum("id,id->i", p, q_true, out=d_true)
+            np.negative(both, out=both)
+            np.exp(both, out=both)
+            both += 1
+            np.reciprocal(both, out=both)
+            d_true -= 1
+            both *= real(1 / size**0.5)  # the mean over the batch times its root
+            of_true = d_true[:, None]
+            np.multiply(p, of_true, out=sides[mid:end])
+            np.matmul(d.T, p, out=sides[end:])
+            np.matmul(d, q_fake[:, :DIMENSION], out=pull)
+            q_true *= of_true
+            pull += q_true[:, :DIMENSION]  # the gradient of each prediction
+            np.matmul(pull, mix.T, out=sides[:mid].reshape(size, -1))
+            g_c[:] = (before.T @ pull).reshape(CONTEXT, wide, DIMENSION)[:, diagonal, diagonal]
+            _sums_into(g_rows, places, sides, room)
+            g_rows[:, DIMENSION + 1] = 0
+            np.multiply(g, g, out=spare)
+            seen += spare
+            np.sqrt(seen, out=spare)
+            np.divide(g, spare, out=g)
+            g *= real(RATE)
+            flat -= g
+    return {"r": rows[: n + 1, :DIMENSION].copy(), "q": rows[n + 1 :, :DIMENSION].copy(), "c": c.copy(), "b": rows[n + 1 :, DIMENSION].copy()}
 
 
 def log_normalised(w: dict[str, np.ndarray], contexts: np.ndarray, codes: np.ndarray, rows: int = 256) -> np.ndarray:
     """log10 P(class | context) for each place; equal (context) rows are normalised once. Contexts may have fewer places than the model."""
     if not len(codes):
         return np.zeros(0)
-    n = len(w["b"]) + 1
-    places = contexts.shape[1]
-    packed = contexts[:, 0].astype(np.int64)
-    for k in range(1, places):
-        packed += contexts[:, k].astype(np.int64) * n**k
-    order = np.argsort(packed, kind="stable").astype(np.int32)
-    packed = packed[order]
-    changes = np.r_[False, packed[1:] != packed[:-1]]
+    n, places = len(w["b"]), contexts.shape[1]
+    order = np.lexsort(tuple(np.ascontiguousarray(contexts[:, k], dtype=np.int16) for k in range(places)))  # 16-bit keys sort by radix
+    codes, contexts = codes[order], contexts[order]
+    changes = np.r_[False, (contexts[1:] != contexts[:-1]).any(1)]
+    group = np.cumsum(changes, dtype=np.int32)
     heads = np.flatnonzero(np.r_[True, changes[1:]])
-    group = np.empty(len(codes), dtype=np.int32)
-    group[order] = np.cumsum(changes, dtype=np.int32)
-    del packed, changes
-    own = contexts[order[heads]]
+    own, bounds = contexts[heads], np.r_[heads, len(codes)]
+    del contexts, changes
+    spots = (group % rows) * np.int32(n) + codes  # of each token's score among those of its chunk
     r, c = w["r"].astype(np.float32), w["c"][:places].astype(np.float32)
+    mix = np.concatenate([np.diag(x) for x in c])
     q = np.ascontiguousarray(np.concatenate([w["q"], w["b"][:, None]], axis=1).T.astype(np.float32))  # the last row is the bias
-    out = np.empty(len(codes))
-    bounds = np.r_[heads, len(codes)]
-    reach, p_all, z_all = np.sqrt((q[:-1] ** 2).sum(0).max()), np.ones((rows, DIMENSION + 1), dtype=np.float32), np.empty((rows, n - 1), dtype=np.float32)
+    # no score can overflow if the longest vectors' products cannot
+    far = sum(np.sqrt(((r * x) ** 2).sum(1).max()) for x in c) * np.sqrt((q[:-1] ** 2).sum(0).max()) + np.abs(q[-1]).max() > 80
+    p_all, z_all, one = np.ones((rows, DIMENSION + 1), dtype=np.float32), np.empty((rows, n), dtype=np.float32), np.ones(n, dtype=np.float32)
+    scores, totals = np.empty(len(codes), dtype=np.float32), np.empty(len(own), dtype=np.float32)
     for at in range(0, len(own), rows):
         part = own[at : at + rows]
         p, z = p_all[: len(part)], z_all[: len(part)]
-        np.einsum("ikd,kd->id", np.take(r, part, axis=0), c, out=p[:, :DIMENSION])
+        p[:, :DIMENSION] = np.take(r, part, axis=0, mode="clip").reshape(len(part), -1) @ mix
         np.matmul(p, q, out=z)
-        inside = order[bounds[at] : bounds[min(at + rows, len(own))]]
-        mine = group[inside] - at
-        own_z = z[mine, codes[inside]]
-        # no score can overflow if the longest vectors' product cannot
-        far = np.sqrt((p[:, :DIMENSION] ** 2).sum(1).max()) * reach + np.abs(q[-1]).max() > 80
-        top = z.max(1, keepdims=True) if far else None
+        first, last = bounds[at], bounds[min(at + rows, len(own))]
+        np.take(z.ravel(), spots[first:last], mode="clip", out=scores[first:last])
+        top = z.max(1) if far else None
         if far:
-            z -= top
+            z -= top[:, None]
         np.exp(z, out=z)
-        total = np.log(z @ np.ones(n - 1, dtype=np.float32))
-        out[inside] = own_z - (total + top[:, 0] if far else total)[mine]
+        total = totals[at : at + rows]
+        np.matmul(z, one, out=total)
+        np.log(total, out=total)
+        if far:
+            total += top
+    out = np.empty(len(codes))
+    out[order] = scores.astype(np.float64) - totals[group]
     return out / math.log(10)
 
 
@@ -214,22 +231,23 @@ def _whole(flat: np.ndarray, n: int) -> dict[str, np.ndarray]:
     return out
 
 
-def _bucketed(docs: DataFrame) -> DataFrame:
-    """Rows dealt over buckets by a number of their own, so that rows that repeat spread too; a scan of files numbers them alike when it is read again."""
+def _bucketed(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Rows dealt over buckets by a number of their own, so that rows that repeat spread too; a scan of files numbers them alike when it is read again. And how many buckets."""
     chars = docs.agg(F.sum(F.char_length("text")).alias("n")).first()["n"] or 0
     buckets = max(1, -(-chars // BUCKET_CHARS))
     row = F.xxhash64("doc_id", F.monotonically_increasing_id())
-    return docs.select(F.pmod(row, F.lit(buckets)).alias("bucket"), "doc_id", held_out(F.col("doc_id")).alias("out"), F.coalesce("text", F.lit("")).alias("text"))
+    return docs.select(F.pmod(row, F.lit(buckets)).alias("bucket"), "doc_id", held_out(F.col("doc_id")).alias("out"), F.coalesce("text", F.lit("")).alias("text")), buckets
 
 
-def _indexed(rows: DataFrame) -> DataFrame:
+def _indexed(rows: DataFrame, shards: int) -> DataFrame:
     """One row a bucket: its documents' ids, folds and lengths, the numbers of all their tokens end to end, and the bucket's own vocabulary with training counts.
 
-    Texts are split here once; training and scoring read numbers only, and no document is shuffled again for a pass.
+    Texts are split here once; training and scoring read numbers only. The vocabulary is dealt over shards by a hash of the token, in the
+    order of its numbers, and each shard's part is one text and one run of counts: Spark holds no row or item for a token.
     """
     schema = T.StructType([
         T.StructField("bucket", T.LongType()), T.StructField("doc_ids", T.ArrayType(rows.schema["doc_id"].dataType)), T.StructField("outs", T.ArrayType(T.BooleanType())),
-        T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("ids", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.BinaryType())), T.StructField("ns", T.ArrayType(T.LongType())),
+        T.StructField("sizes", T.ArrayType(T.LongType())), T.StructField("ids", T.BinaryType()), T.StructField("tokens", T.ArrayType(T.BinaryType())), T.StructField("ns", T.ArrayType(T.BinaryType())),
     ])
 
     def run(table: pa.Table) -> pa.Table:
@@ -239,41 +257,94 @@ def _indexed(rows: DataFrame) -> DataFrame:
         for text in table.column("text"):
             own = tokens_of(text.as_py())
             ids.append(np.fromiter(map(number, own), dtype=np.int32, count=len(own)))
-        outs = np.array(table.column("out").to_pylist(), dtype=bool)
-        ns = np.zeros(len(vocabulary), dtype=np.int64)
-        for out, own in zip(outs, ids, strict=True):
-            if not out:
-                ns += np.bincount(own, minlength=len(ns)) if len(own) * 8 > len(ns) else 0
-                if len(own) * 8 <= len(ns):
-                    np.add.at(ns, own, 1)
+        sizes, every = np.array([len(x) for x in ids]), np.concatenate(ids)
+        del ids
+        tokens = list(vocabulary)
+        shard = np.fromiter(map(zlib.crc32, tokens), dtype=np.uint32, count=len(tokens)) % shards
+        order = np.argsort(shard, kind="stable")
+        renumbered = np.empty(len(order), dtype=np.int32)
+        renumbered[order] = np.arange(len(order), dtype=np.int32)
+        every = renumbered[every]
+        ns = np.bincount(every[np.repeat(~np.array(table.column("out").to_pylist(), dtype=bool), sizes)], minlength=len(tokens))
+        bounds = np.searchsorted(shard[order], np.arange(shards + 1))
+        spans = list(zip(bounds[:-1], bounds[1:], strict=True))
         doc_ids = table.column("doc_id").combine_chunks()
         return pa.table({
-            "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int64()), "doc_ids": pa.ListArray.from_arrays([0, len(ids)], doc_ids if isinstance(doc_ids, pa.Array) else doc_ids.chunk(0)),
-            "outs": pa.array([outs.tolist()], pa.list_(pa.bool_())), "sizes": pa.array([[len(x) for x in ids]], pa.list_(pa.int64())),
-            "ids": pa.array([_packed(np.concatenate(ids))], pa.binary()), "tokens": pa.array([list(vocabulary)], pa.list_(pa.binary())), "ns": pa.array([ns.tolist()], pa.list_(pa.int64())),
+            "bucket": pa.array([table.column("bucket")[0].as_py()], pa.int64()), "doc_ids": pa.ListArray.from_arrays([0, len(sizes)], doc_ids if isinstance(doc_ids, pa.Array) else doc_ids.chunk(0)),
+            "outs": pa.ListArray.from_arrays([0, len(sizes)], pa.array(table.column("out").to_pylist(), pa.bool_())), "sizes": pa.array([sizes], pa.list_(pa.int64())), "ids": pa.array([_packed(every)], pa.binary()),
+            "tokens": pa.array([[BETWEEN.join([tokens[i] for i in order[a:b]]) for a, b in spans]], pa.list_(pa.binary())),
+            "ns": pa.array([[_packed(ns[a:b]) for a, b in spans]], pa.list_(pa.binary())),
         })
 
     return rows.groupBy("bucket").applyInArrow(run, schema)
 
 
-def _packed(ids: np.ndarray) -> bytes:
-    """32-bit numbers as four planes of bytes: the high ones are nearly all zeros and take no room once they are compressed."""
-    return ids.astype("<i4").view(np.uint8).reshape(-1, 4).T.tobytes()
+def _packed(ids: np.ndarray, kind: str = "<i4") -> bytes:
+    """Numbers as planes of bytes: the high ones are nearly all zeros and take no room once they are compressed."""
+    return ids.astype(kind).view(np.uint8).reshape(-1, int(kind[-1])).T.tobytes()
+
+
+def _unpacked(planes: bytes, kind: str = "<i4") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(int(kind[-1]), -1).T).view(kind).ravel()
 
 
-def _unpacked(planes: bytes) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, dtype=np.uint8).reshape(4, -1).T).view("<i4").ravel()
+def _counted(indexed: DataFrame) -> DataFrame:
+    """The corpus's training counts of each part of a bucket's vocabulary, in its order, as rows (bucket, shard, cs). A shard's first row also has its
+    most frequent tokens (top, as many as the model can take), and for each spelling class the counts and the number of its known tokens."""
+    parts = indexed.select("bucket", F.posexplode(F.arrays_zip("tokens", "ns")).alias("shard", "t")).select("bucket", "shard", "t.tokens", "t.ns")
+
+    def run(table: pa.Table) -> pa.Table:
+        texts = [x.as_py() for x in table.column("tokens")]
+        data = np.frombuffer(b"".join(x + BETWEEN for x in texts if x), dtype=np.uint8)  # each token with the mark after it
+        offsets = np.r_[0, np.flatnonzero(data == BETWEEN[0]) + 1].astype(np.int32)
+        lengths = [x.count(BETWEEN) + 1 if x else 0 for x in texts]
+        del texts
+        coded = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        place, distinct = coded.indices.to_numpy(), coded.dictionary
+        del coded, data, offsets
+        cs = np.zeros(len(distinct), dtype=np.int64)
+        at = 0
+        for ns, length in zip(table.column("ns"), lengths, strict=True):
+            cs[place[at : at + length]] += _unpacked(ns.as_py())  # a token is in a bucket's part once
+            at += length
+        known = np.flatnonzero(cs)
+        least = np.partition(cs[known], -OUTPUTS)[-OUTPUTS] if len(known) > OUTPUTS else 1
+        named = lambda which: [x[:-1] for x in distinct.take(pa.array(which)).to_pylist()]
+        above = np.flatnonzero(cs > least)
+        top = [{"token": t, "c": int(c)} for t, c in [*zip(named(above), cs[above], strict=True), *((t, least) for t in heapq.nsmallest(OUTPUTS, named(np.flatnonzero(cs == least))))]]
+        shapes = _shapes(distinct.take(pa.array(known)))
+        rows, ends = table.num_rows, np.cumsum(lengths)
+        first = lambda x, kind: pa.array([x, *[None] * (rows - 1)], kind)
+        return pa.table({
+            "bucket": table.column("bucket"), "shard": table.column("shard"), "cs": pa.array([_packed(cs[place[e - n : e]], "<i8") for n, e in zip(lengths, ends, strict=True)], pa.binary()),
+            "top": first(top, pa.list_(pa.struct([("token", pa.binary()), ("c", pa.int64())]))),
+            "shape_ns": first(np.bincount(shapes, cs[known], SHAPES).astype(np.int64), pa.list_(pa.int64())), "shape_vs": first(np.bincount(shapes, minlength=SHAPES), pa.list_(pa.int64())),
+        })
+
+    return parts.groupBy("shard").applyInArrow(run, "bucket bigint, shard int, cs binary, top array<struct<token: binary, c: bigint>>, shape_ns array<bigint>, shape_vs array<bigint>")
+
+
+def _shapes(tokens: pa.Array) -> np.ndarray:
+    """The spelling class of tokens that have a mark after them."""
+    if not len(tokens):
+        return np.zeros(0, dtype=np.int64)
+    ends, data = np.frombuffer(tokens.buffers()[1], dtype=np.int32)[tokens.offset : tokens.offset + len(tokens) + 1], np.frombuffer(tokens.buffers()[2], dtype=np.uint8).astype(np.int32)
+    tails = data[ends[1:] - 2] + 256 * np.where(np.diff(ends) == 2, 256, data[np.maximum(ends[1:] - 3, 0)])
+    each, which = np.unique(tails, return_inverse=True)
+    return np.array([shape(bytes([x % 256] if x >= 65536 else [x // 256, x % 256])) for x in each.tolist()], dtype=np.int64)[which]
+
+
+def _coded(texts: list[bytes], classes: Classes) -> np.ndarray:
+    """The classes of a bucket's vocabulary."""
+    tokens = [t for x in texts if x for t in x.split(BETWEEN)]
+    return np.fromiter(map(classes.of, tokens), dtype=np.int16, count=len(tokens))
 
 
 def _training(row: dict, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
     """Classes and contexts of the training tokens of a bucket's row."""
-    of = classes.codes(row["tokens"], {}).astype(np.int16)
-    every = of[_unpacked(row["ids"])]
-    ends = np.cumsum(row["sizes"])
-    kept = [every[end - size : end] for size, end, out in zip(row["sizes"], ends, row["outs"], strict=True) if not out]
-    if not kept:
-        return np.zeros(0, dtype=np.int16), np.zeros((0, CONTEXT), dtype=np.int16)
-    return np.concatenate(kept), np.concatenate([contexts_of(c, classes.start).astype(np.int16) for c in kept])
+    sizes, kept = np.array(row["sizes"]), ~np.array(row["outs"], dtype=bool)
+    codes = _coded(row["tokens"], classes)[_unpacked(row["ids"])[np.repeat(kept, sizes)]]
+    return codes, contexts_in(codes, sizes[kept], classes.start)
 
 
 def _fit(begun: dict[str, np.ndarray], classes: Classes, noise: np.ndarray, seed: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -307,57 +378,45 @@ def train(indexed: DataFrame, classes: Classes, noise: np.ndarray) -> dict[str,
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10) for each row of docs(doc_id, text)."""
-    indexed = stored(_indexed(_bucketed(docs)))
-    words = indexed.select("bucket", F.posexplode(F.arrays_zip("tokens", "ns")).alias("place", "t")).select("bucket", "place", "t.tokens", "t.ns")
-    totals = stored(words.groupBy(F.col("tokens").alias("token")).agg(F.sum("ns").alias("c")))
-    known = totals.where("c > 0")
-    n_all, v_all = known.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    frequent = [bytes(r["token"]) for r in known.orderBy(F.desc("c"), "token").limit(OUTPUTS).collect()]
-    classes = Classes(frequent)
-
-    def classed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((classes.n, 2), dtype=np.int64)
-        for batch in batches:
-            codes = classes.codes(batch.column(0).to_pylist(), {})
-            np.add.at(sums, codes, np.stack([batch.column(1).to_numpy(), np.ones(len(codes), dtype=np.int64)], axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(classes.n)), pa.array(sums[:, 0]), pa.array(sums[:, 1])], names=["class", "n", "v"])
-
-    sums = known.select("token", "c").mapInArrow(classed, "class bigint, n bigint, v bigint").groupBy("class").agg(F.sum("n").alias("n"), F.sum("v").alias("v"))
+    rows, buckets = _bucketed(docs)
+    indexed = stored(_indexed(rows, -(-buckets // SHARD_BUCKETS)))
+    counted = stored(_counted(indexed))
+    top = counted.select(F.explode("top").alias("t")).select("t.token", "t.c").orderBy(F.desc("c"), "token").limit(OUTPUTS).collect()
+    classes = Classes([bytes(r["token"]) for r in top])
     class_n, class_v = np.zeros(classes.n), np.zeros(classes.n)
-    for r in sums.collect():  # one row a class
-        class_n[r["class"]], class_v[r["class"]] = r["n"], r["v"]
+    sums = counted.select(F.posexplode(F.arrays_zip("shape_ns", "shape_vs")).alias("shape", "t")).groupBy("shape").agg(F.sum("t.shape_ns").alias("n"), F.sum("t.shape_vs").alias("v"))
+    n_all = v_all = 0
+    for r in sums.collect():  # one row a spelling class
+        class_n[classes.frequent + r["shape"]], class_v[classes.frequent + r["shape"]] = r["n"], r["v"]
+        n_all, v_all = n_all + r["n"], v_all + r["v"]
+    for i, r in enumerate(top):  # frequent tokens are classes of their own
+        of = classes.frequent + shape(bytes(r["token"]))
+        class_n[i], class_v[i] = r["c"], 1
+        class_n[of] -= r["c"]
+        class_v[of] -= 1
     noise = (class_n + 1) / (class_n + 1).sum()
     weights = train(indexed, classes, noise)
-
-    # the corpus counts and classes of each bucket's vocabulary, in its own order
-    ranks = docs.sparkSession.createDataFrame([(bytearray(t), i) for i, t in enumerate(frequent)], "token binary, rank int")
-    shape = F.crc32(F.substring("token", -2, 2)) % SHAPES + len(frequent)
-    coded = totals.join(F.broadcast(ranks), "token", "left").select("token", "c", F.coalesce("rank", shape).cast("int").alias("code"))
-    placed = words.select("bucket", "place", F.col("tokens").alias("token")).join(coded, "token").groupBy("bucket").agg(F.array_sort(F.collect_list(F.struct("place", "c", "code"))).alias("s"))
-    fetched = placed.select("bucket", F.transform("s", lambda s: s["c"]).alias("cs"), F.transform("s", lambda s: s["code"]).alias("codes"))
     schema = T.StructType([docs.schema["doc_id"], *[T.StructField(n, k) for n, k in (
         ("held_out", T.BooleanType()), ("n_tokens", T.LongType()), ("n_known", T.LongType()), ("train_tokens", T.LongType()),
         ("base_score", T.DoubleType()), ("score", T.DoubleType()))]])
     base = math.log10(n_all + v_all + 1)
     log_room = np.log10(class_n + class_v + 1)
 
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                one = batch.slice(i, 1)
-                row = one.select(["outs", "sizes", "ids"]).to_pylist()[0]
-                seen, code_of = one.column("cs").flatten().to_numpy().astype(np.float64), one.column("codes").flatten().to_numpy().astype(np.int16)
-                logs = np.log10(seen + 1)
-                inner = np.where(code_of < classes.frequent, 0.0, logs - log_room[code_of])
-                every, sizes = _unpacked(row["ids"]), np.array(row["sizes"])
-                ends = np.cumsum(sizes)
-                codes = code_of[every]
-                contexts = np.concatenate([contexts_of(codes[e - n : e], np.int16(classes.start)) for n, e in zip(sizes, ends, strict=True)])
-                heads = ends - sizes
-                model = np.add.reduceat(log_normalised(weights, contexts, codes) + inner[every], heads)
-                yield pa.RecordBatch.from_arrays([
-                    one.column("doc_ids").flatten(), pa.array(row["outs"]), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((seen > 0)[every].astype(np.int64), heads)),
-                    pa.array(np.full(len(sizes), n_all, dtype=np.int64)), pa.array(np.add.reduceat(logs[every], heads) - base * sizes), pa.array(model),
-                ], names=[f.name for f in schema.fields])
-
-    return indexed.select("bucket", "doc_ids", "outs", "sizes", "ids").join(fetched, "bucket").drop("bucket").mapInArrow(score, schema)
+    def score(bucket: pa.Table, counts: pa.Table) -> pa.Table:
+        row = bucket.select(["sizes", "ids", "tokens"]).to_pylist()[0]
+        code_of = _coded(row["tokens"], classes)
+        seen = np.concatenate([_unpacked(x, "<i8") for _, x in sorted(zip(counts.column("shard").to_pylist(), counts.column("cs").to_pylist(), strict=True))]).astype(np.float64)
+        logs = np.log10(seen + 1)
+        inner = np.where(code_of < classes.frequent, 0.0, logs - log_room[code_of])
+        every, sizes = _unpacked(row["ids"]), np.array(row["sizes"])
+        del row
+        codes, heads = code_of[every], np.cumsum(sizes) - sizes
+        model = np.add.reduceat(log_normalised(weights, contexts_in(codes, sizes, classes.start), codes) + inner[every], heads)
+        flat = lambda name: bucket.column(name).combine_chunks().flatten()
+        return pa.table([
+            flat("doc_ids"), flat("outs"), pa.array(sizes, pa.int64()), pa.array(np.add.reduceat((seen > 0)[every].astype(np.int64), heads)),
+            pa.array(np.full(len(sizes), n_all, dtype=np.int64)), pa.array(np.add.reduceat(logs[every], heads) - base * sizes), pa.array(model),
+        ], names=[f.name for f in schema.fields])
+
+    of_bucket = indexed.select("bucket", "doc_ids", "outs", "sizes", "ids", "tokens").groupBy("bucket")
+    return of_bucket.cogroup(counted.select("bucket", "shard", "cs").groupBy("bucket")).applyInArrow(score, schema)

@@ -237,6 +237,40 @@ def test_lm_scores_equal_a_plain_evaluation(spark):
     assert sorted((repr(i), round(plain(x), 3)) for i, x in rows) == sorted((repr(r.doc_id), round(r.score, 3)) for r in got)
 
 
+def test_lm_moves_blocks_of_tokens(spark, monkeypatch):
+    # many buckets and shards: Spark gets a row for each bucket and for each part of its vocabulary, never one for a token, and the counts are whole
+    monkeypatch.setattr(lm, "BUCKET_CHARS", 4000)
+    monkeypatch.setattr(lm, "SHARD_BUCKETS", 4, raising=False)
+    rows = [(i, " ".join(RND.choice(["the", "é", "x", f"t{RND.randrange(900)}", f"u{RND.randrange(10**9)}"]) for _ in range(RND.randrange(90)))) for i in range(300)] + [(5, None), (None, "x")]
+    kept, sizes = {}, []
+    train, keep = lm.train, lm.stored
+    monkeypatch.setattr(lm, "train", lambda *a: train(*kept.setdefault("a", a)))
+    monkeypatch.setattr(lm, "stored", lambda df: (out := keep(df), sizes.append(out.count()))[0])
+    got = lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()
+    buckets = -(-sum(len(x or "") for _, x in rows) // 4000)
+    assert buckets > 8 and max(sizes) <= buckets * -(-buckets // 4)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    c = Counter(t for i, x in rows if not held(i) for t in lm.tokens_of(x))
+    n, v = sum(c.values()), len(c)
+    _, classes, noise = kept["a"]
+    assert list(classes.rank) == [t for t, _ in sorted(c.items(), key=lambda kv: (-kv[1], kv[0]))[: lm.OUTPUTS]]
+    of = Counter()
+    for t, k in c.items():
+        of[classes.of(t)] += k
+    want = np.array([of[k] + 1 for k in range(classes.n)])
+    assert np.allclose(noise, want / want.sum(), rtol=1e-12)
+    want = sorted((repr(i), len(lm.tokens_of(x)), sum(t in c for t in lm.tokens_of(x)), n, round(sum(np.log10((c[t] + 1) / (n + v + 1)) for t in lm.tokens_of(x)), 4)) for i, x in rows)
+    assert sorted((repr(r.doc_id), r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 4)) for r in got) == want
+
+
+def test_lm_contexts_end_to_end():
+    sizes = np.array([1, 2, 5, 1, 3, 4])
+    codes = RND.sample(range(100), 16)
+    each = [lm.contexts_of(np.array(x), 999) for x in np.split(np.array(codes), np.cumsum(sizes)[:-1])]
+    assert (lm.contexts_in(np.array(codes), sizes, 999) == np.concatenate(each)).all()
+    assert lm.contexts_in(np.zeros(0, dtype=np.int16), sizes[:0], 9).shape == (0, lm.CONTEXT)
+
+
 def test_lm_numbers_survive_packing():
     ids = np.array([0, 1, 255, 256, 70_000, 2**31 - 1], dtype=np.int32)
     assert (lm._unpacked(lm._packed(ids)) == ids).all() and len(lm._unpacked(lm._packed(ids[:0]))) == 0
