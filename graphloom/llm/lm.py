@@ -26,9 +26,11 @@ import math
 import zlib
 from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -295,13 +297,10 @@ def _counted(indexed: DataFrame) -> DataFrame:
 
     def run(table: pa.Table) -> pa.Table:
         texts = [x.as_py() for x in table.column("tokens")]
-        data = np.frombuffer(b"".join(x + BETWEEN for x in texts if x), dtype=np.uint8)  # each token with the mark after it
-        offsets = np.r_[0, np.flatnonzero(data == BETWEEN[0]) + 1].astype(np.int32)
         lengths = [x.count(BETWEEN) + 1 if x else 0 for x in texts]
-        del texts
-        coded = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+        coded = _marked(texts).dictionary_encode()
         place, distinct = coded.indices.to_numpy(), coded.dictionary
-        del coded, data, offsets
+        del coded, texts
         cs = np.zeros(len(distinct), dtype=np.int64)
         at = 0
         for ns, length in zip(table.column("ns"), lengths, strict=True):
@@ -324,20 +323,32 @@ def _counted(indexed: DataFrame) -> DataFrame:
     return parts.groupBy("shard").applyInArrow(run, "bucket bigint, shard int, cs binary, top array<struct<token: binary, c: bigint>>, shape_ns array<bigint>, shape_vs array<bigint>")
 
 
+def _marked(texts: list[bytes]) -> pa.Array:
+    """The tokens of parts of a vocabulary, each with the mark after it."""
+    data = np.frombuffer(b"".join(x + BETWEEN for x in texts if x), dtype=np.uint8)
+    offsets = np.r_[0, np.flatnonzero(data == BETWEEN[0]) + 1].astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+
+
 def _shapes(tokens: pa.Array) -> np.ndarray:
     """The spelling class of tokens that have a mark after them."""
     if not len(tokens):
         return np.zeros(0, dtype=np.int64)
     ends, data = np.frombuffer(tokens.buffers()[1], dtype=np.int32)[tokens.offset : tokens.offset + len(tokens) + 1], np.frombuffer(tokens.buffers()[2], dtype=np.uint8).astype(np.int32)
-    tails = data[ends[1:] - 2] + 256 * np.where(np.diff(ends) == 2, 256, data[np.maximum(ends[1:] - 3, 0)])
-    each, which = np.unique(tails, return_inverse=True)
-    return np.array([shape(bytes([x % 256] if x >= 65536 else [x // 256, x % 256])) for x in each.tolist()], dtype=np.int64)[which]
+    return _tails()[data[ends[1:] - 2] + 256 * np.where(np.diff(ends) == 2, 256, data[np.maximum(ends[1:] - 3, 0)])]
+
+
+@cache
+def _tails() -> np.ndarray:
+    """The spelling class for each two last bytes (the last one's worth is 1), then for each single one."""
+    return np.array([shape(bytes([x // 256, x % 256])) for x in range(65536)] + [shape(bytes([x])) for x in range(256)], dtype=np.int16)
 
 
 def _coded(texts: list[bytes], classes: Classes) -> np.ndarray:
-    """The classes of a bucket's vocabulary."""
-    tokens = [t for x in texts if x for t in x.split(BETWEEN)]
-    return np.fromiter(map(classes.of, tokens), dtype=np.int16, count=len(tokens))
+    """The classes of a bucket's vocabulary, as Classes.of has them."""
+    tokens = _marked(texts)
+    ranks = pc.index_in(tokens, value_set=pa.array([t + BETWEEN for t in classes.rank], pa.binary())).fill_null(-1).to_numpy()
+    return np.where(ranks < 0, classes.frequent + _shapes(tokens), ranks).astype(np.int16)
 
 
 def _training(row: dict, classes: Classes) -> tuple[np.ndarray, np.ndarray]:

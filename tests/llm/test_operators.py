@@ -271,6 +271,14 @@ def test_lm_contexts_end_to_end():
     assert lm.contexts_in(np.zeros(0, dtype=np.int16), sizes[:0], 9).shape == (0, lm.CONTEXT)
 
 
+def test_lm_codes_a_vocabulary_at_once():
+    tokens = [b"the", b"a", b"e", lm.END, *{f"{RND.randrange(10**6)}é{k}".encode() for k in range(500)}, "é".encode(), "aé".encode()]
+    for frequent in ([], [b"a", lm.END, "é".encode(), tokens[9]]):
+        classes = lm.Classes(frequent)
+        assert lm._coded([lm.BETWEEN.join(tokens[:3]), b"", lm.BETWEEN.join(tokens[3:])], classes).tolist() == [classes.of(t) for t in tokens]
+    assert len(lm._shapes(lm._marked([b""]))) == 0
+
+
 def test_lm_numbers_survive_packing():
     ids = np.array([0, 1, 255, 256, 70_000, 2**31 - 1], dtype=np.int32)
     assert (lm._unpacked(lm._packed(ids)) == ids).all() and len(lm._unpacked(lm._packed(ids[:0]))) == 0
