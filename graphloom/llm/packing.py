@@ -1,7 +1,7 @@
 """Best-two-fit packing of tokenised documents into sequences.
 
 Tokenising runs where the documents lie: texts are split at ASCII white space, which the tokenizer never
-crosses, and each distinct word is encoded once per worker. Documents become pieces of at most `size` tokens.
+crosses, and a worker remembers the words it has encoded lately. Documents become pieces of at most `size` tokens.
 Pieces are dealt by hash over shards of about `shard_pieces` (the count is known before), and each shard is
 packed on its own: a bin is opened with the longest piece left and filled with the longest that fit; then its smallest
 piece is replaced by two unpacked pieces that fill the expanded gap more tightly, if there are such. Only the last
@@ -22,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,7 +33,9 @@ SIZE = 4096
 END = 1
 SHARD_PIECES = 100_000
 #: Words of one generation that a worker remembers; two generations are held, and words in use move to the newer one.
-MEMORY_WORDS = 500_000
+MEMORY_WORDS = 300_000
+#: Bytes of texts that are encoded together; a text is not divided.
+PART_BYTES = 400_000
 
 
 #: The characters by which a byte-level vocabulary writes bytes: printable ones stand for themselves, the others follow 255 in order.
@@ -53,42 +56,37 @@ class WordEncoder:
         self.dot, self.comma = (np.array(self.tokenizer.encode(t, add_special_tokens=False).ids, dtype="<u4").tobytes() for t in ".,")
 
     def _learn(self, words: set[bytes]) -> None:
-        """Fills known for words: from what an earlier generation knew, from a shorter word, or from the tokenizer."""
-        known, old = self.known, self.old
-        if len(known) + len(words) > MEMORY_WORDS:
-            self.old = old = known
-            self.known = known = {}
-        ended, rest = [], []
+        """Fills known for words, none of which it holds: from what the generation before knew, or from the tokenizer."""
+        if len(self.known) + len(words) > MEMORY_WORDS:
+            self.old, self.known = self.known, {}
+        known, old, other = self.known, self.old, []
+        tokenize, number = self.tokenizer.model.tokenize, struct.Struct("<I").pack
         for w in words:
-            if w in known:
-                continue
             if w in old:
                 known[w] = old[w]
-            elif w[-1] in b".," and w[-2:-1].isalnum():  # a stop after a letter or digit is a token of its own
-                ended.append(w)
-            else:
-                rest.append(w)
-        if ended:
-            self._learn({w[:-1] for w in ended})
-            if self.known is not known:
-                self.known.update(known)
-                known = self.known
-            for w in ended:
-                known[w] = known[w[:-1]] + (self.dot if w[-1] == 46 else self.comma)
-        other = []
-        tokenize, number = self.tokenizer.model.tokenize, struct.Struct("<I").pack
-        for w in rest:
+                continue
             t = w.decode("utf-8", "replace")
             # a word of lower-case letters is one pre-token that the normaliser leaves alone: the model can have it directly
             if t.isalpha() and t.islower() and t == t.lower() and unicodedata.is_normalized("NFC", t):
                 known[w] = b"".join([number(x.id) for x in tokenize(t if t.isascii() else w.decode("latin-1").translate(_BYTES))])
             else:
                 other.append((w, t))
-        found = self.tokenizer.encode_batch([t for _, t in other], add_special_tokens=False)
-        known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for (w, _), e in zip(other, found, strict=True))
-
-    def _known(self, words: set[bytes]) -> None:
-        self._learn({w for w in words if w not in self.known})
+        for at in range(0, len(other), 1024):
+            part = other[at : at + 1024]
+            found = self.tokenizer.encode_batch([t for _, t in part], add_special_tokens=False)
+            known.update((w, np.array(e.ids, dtype="<u4").tobytes()) for (w, _), e in zip(part, found, strict=True))
+
+    def _ids(self, words: set[bytes]) -> dict[bytes, bytes]:
+        """The ids of all these words. What is remembered meanwhile or forgotten makes no difference."""
+        # a stop after a letter or digit is a token of its own, so such words are made from the shorter ones and not remembered
+        ended = [w for w in words if w[-1] in b".," and w[-2:-1].isalnum()]
+        words = words.difference(ended).union([w[:-1] for w in ended])
+        out = {w: ids for w in words if (ids := self.known.get(w)) is not None}
+        rest = words.difference(out)
+        self._learn(rest)
+        out.update((w, self.known[w]) for w in rest)
+        out.update([(w, out[w[:-1]] + (self.dot if w[-1] == 46 else self.comma)) for w in ended])
+        return out
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = []
@@ -96,15 +94,8 @@ class WordEncoder:
             raw = (t or "").encode("utf-8", "replace")
             # the tokenizer lower-cases; only a special token's spelling makes a difference between cases
             split.append((raw if b"<|" in raw else raw.lower()).split())
-        self._known(set().union(*split))
-        out = []
-        for words in split:
-            try:
-                out.append(b"".join(map(self.known.__getitem__, words)))
-            except KeyError:  # forgotten meanwhile
-                self._known(set(words))
-                out.append(b"".join([self.known.get(w) or self.old.get(w, b"") for w in words]))
-        return out
+        ids = self._ids(set().union(*split))
+        return [b"".join(map(ids.__getitem__, words)) for words in split]
 
 
 @functools.lru_cache(maxsize=2)
@@ -112,6 +103,15 @@ def _encoder(path: str) -> WordEncoder:
     return WordEncoder(path)
 
 
+def _parts(batch: pa.RecordBatch, column: int) -> Iterator[pa.RecordBatch]:
+    """The rows of batch in order, cut wherever another PART_BYTES of the column's texts have gone by."""
+    gone = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False), dtype=np.int64) // PART_BYTES
+    cuts = [0, *(np.flatnonzero(np.diff(gone)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+        if a < b:
+            yield batch.slice(a, b - a)
+
+
 PIECE = [
     T.StructField("piece", T.IntegerType()), T.StructField("start", T.LongType()),
     T.StructField("length", T.LongType()), T.StructField("ids_crc32", T.LongType()),
@@ -126,8 +126,7 @@ def tokenize(docs: DataFrame, tokenizer: str, size: int = SIZE, end: int = END,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, stop = _encoder(tokenizer), np.array([end], dtype="<u4").tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for part in _parts(batch, 1):
                 owner, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, coded in enumerate(encoder.encode(part.column(1).to_pylist())):
                     coded += stop

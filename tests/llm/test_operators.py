@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -115,6 +116,36 @@ def test_packing(spark, docs):
     assert sum(len(r.ids) for r in whole) == sum(r.length for r in got)
 
 
+def test_word_memory_is_bounded_and_forgets_nothing_in_use(monkeypatch):
+    """More words in one text than are remembered, with and without a stop: all ids are there, and what is held stays small."""
+    monkeypatch.setattr(packing, "MEMORY_WORDS", 500)
+    path = public_tokenizers.path("word_bpe_49k.json")
+    tokenizer, encoder = Tokenizer.from_file(path), packing.WordEncoder(path)
+    rnd = random.Random(5)
+    words = ["".join(rnd.choices("abcdefgé", k=7)) + "x" for _ in range(3000)]
+    stopped = [w + "." for w in words]
+    texts = [" ".join(words[:400]), " ".join(stopped[:800]), " ".join(stopped[:1600]), " ".join([*words[:400], *(w + "," for w in words[300:])]), None]
+    for part in [*([t] for t in texts), texts]:
+        assert encoder.encode(part) == [np.array(tokenizer.encode(t or "", add_special_tokens=False).ids, dtype="<u4").tobytes() for t in part]
+    encoder = packing.WordEncoder(path)
+    encoder.encode([" ".join(f"{w} {w}. {w}," for w in words[:300])])
+    assert len(encoder.known) + len(encoder.old) == len(set(words[:300]))
+    for k in range(0, 3000, 50):
+        encoder.encode([" ".join(words[k : k + 50])])
+        assert len(encoder.known) + len(encoder.old) <= 1000
+
+
+def test_texts_are_encoded_in_parts_of_few_bytes(monkeypatch):
+    """Long texts do not share a part by their number of rows; no row is lost, whatever the lengths."""
+    monkeypatch.setattr(packing, "PART_BYTES", 1000)
+    texts = [None, "", "a" * 400, "b" * 5000, "c" * 600, "d" * 600, *["e" * 90] * 40, None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts, pa.string())], names=["doc_id", "text"])
+    parts = list(packing._parts(batch, 1))
+    assert [t for p in parts for t in p.column(1).to_pylist()] == texts
+    assert all(sum(len(t or "") for t in p.column(1).to_pylist()[1:]) <= 1000 for p in parts)
+    assert list(packing._parts(batch.slice(0, 0), 1)) == []
+
+
 def test_best_two_fit():
     lengths = np.array([RND.randrange(1, 101) for _ in range(3000)])
     bins = packing.best_two_fit(lengths, 100)
