@@ -1,8 +1,10 @@
 """Work that must not grow with pairs, paths or rounds, and the results beside it."""
 
 import random
+from collections import defaultdict
 
 from graphloom.operators import analysis as N
+from graphloom.operators import structure as S
 
 
 def test_vector_groups_are_exact_and_ties_hold(spark):
@@ -20,3 +22,50 @@ def test_vector_groups_are_exact_and_ties_hold(spark):
         got.setdefault(r.node, []).append((r.neighbour, round(r.similarity, 9)))
     assert {i: sorted(x) for i, x in got.items()} == {i: sorted(x) for i, x in want.items()}
     assert "Join" not in found._jdf.queryExecution().executedPlan().toString()  # vectors are not sent about
+
+
+def _tree(spark):
+    """A root with 5 children of 40 leaves each, some of which have a leaf, and a ring of 4 beside it."""
+    up = [(i, 0) for i in range(1, 6)] + [(10 + i, 1 + i % 5) for i in range(200)] + [(500 + i, 10 + i) for i in range(7)] + [(900, 901), (901, 902), (902, 903), (903, 900), (904, 900)]
+    return sorted({x for e in up for x in e}), up, spark.createDataFrame(up, "src bigint, dst bigint")
+
+
+def _hops(near, start):
+    depth, todo = {start: 0}, [start]
+    for u in todo:
+        for v in near[u]:
+            if v not in depth:
+                depth[v] = depth[u] + 1
+                todo.append(v)
+    return depth
+
+
+def _starts(monkeypatch):
+    """The number of nodes that each all-pairs search starts from."""
+    seen, plain = [], S.reach
+    monkeypatch.setattr(S, "reach", lambda edges, sources, *a: (seen.append(sources.count()), plain(edges, sources, *a))[1])
+    return seen
+
+
+def test_betweenness_folds_trees(spark, monkeypatch):
+    nodes, pairs, edges = _tree(spark)
+    near, seen = defaultdict(set), _starts(monkeypatch)
+    for a, b in pairs:
+        near[a].add(b)
+        near[b].add(a)
+    want, far = defaultdict(float), {s: _hops(near, s) for s in nodes}
+    ways = {}
+    for s in nodes:
+        n = defaultdict(int, {s: 1})
+        for u in sorted(far[s], key=far[s].get):
+            for v in near[u]:
+                n[v] += n[u] * (far[s][v] == far[s][u] + 1)
+        ways[s] = n
+    for s in nodes:
+        for t in far[s]:
+            for u in far[s]:
+                if u not in (s, t) and far[s][u] + far[u][t] == far[s][t]:
+                    want[u] += ways[s][u] * ways[u][t] / ways[s][t] / 2
+    got = S.betweenness_centrality(spark.createDataFrame([(x,) for x in nodes], "id bigint"), edges, False, False).collect()
+    assert {r.node: round(r.betweenness_centrality, 6) for r in got} == {x: round(want[x], 6) for x in nodes}
+    assert seen == [5]  # the ring and what is left of the tree, not each node
