@@ -69,3 +69,16 @@ def test_betweenness_folds_trees(spark, monkeypatch):
     got = S.betweenness_centrality(spark.createDataFrame([(x,) for x in nodes], "id bigint"), edges, False, False).collect()
     assert {r.node: round(r.betweenness_centrality, 6) for r in got} == {x: round(want[x], 6) for x in nodes}
     assert seen == [5]  # the ring and what is left of the tree, not each node
+
+
+def test_distances_fold_trees(spark, monkeypatch):
+    nodes, pairs, edges = _tree(spark)
+    edges = edges.union(edges.where("src != 904").selectExpr("dst", "src"))  # 904 is reached from nowhere, so it cannot be folded
+    near, seen = defaultdict(set), _starts(monkeypatch)
+    for a, b in edges.collect():
+        near[a].add(b)
+    got = {r.node: r for r in S.distances(spark.createDataFrame([(x,) for x in nodes], "id bigint"), edges).collect()}
+    for s in nodes:
+        far = [d for d in _hops(near, s).values() if d]
+        assert (got[s].eccentricity, got[s].total) == (max(far), sum(far)) and abs(got[s].harmonic - sum(1 / d for d in far)) < 1e-9 and abs(got[s].closeness - len(far) / sum(far)) < 1e-9
+    assert seen == [6]
