@@ -82,3 +82,20 @@ def test_distances_fold_trees(spark, monkeypatch):
         far = [d for d in _hops(near, s).values() if d]
         assert (got[s].eccentricity, got[s].total) == (max(far), sum(far)) and abs(got[s].harmonic - sum(1 / d for d in far)) < 1e-9 and abs(got[s].closeness - len(far) / sum(far)) < 1e-9
     assert seen == [6]
+
+
+def test_set_cover_takes_no_round_for_each_set(spark, monkeypatch):
+    rnd, written = random.Random(2), []
+    pairs = sorted({(rnd.randrange(80), rnd.randrange(30)) for _ in range(200)} | {(1000 + i, 2000 + i) for i in range(20)})
+    left, want = set(pairs), set()
+    while left:
+        count = defaultdict(int)
+        for _, b in left:
+            count[b] += 1
+        want.add(top := min(count, key=lambda k: (-count[k], k)))
+        closed = {a for a, b in left if b == top}
+        left = {x for x in left if x[0] not in closed}
+    plain = S.cut
+    monkeypatch.setattr(S, "cut", lambda df: (written.append(1), plain(df))[1])
+    got = S.set_cover(spark.createDataFrame(pairs, "element bigint, containing_set bigint")).collect()
+    assert {r.containing_set for r in got} == want and len(got) == len(want) > 30 and len(written) < 12
