@@ -5,6 +5,7 @@ from collections import defaultdict
 
 from graphloom.operators import analysis as N
 from graphloom.operators import structure as S
+from graphloom.operators import traversal as T
 
 
 def test_vector_groups_are_exact_and_ties_hold(spark):
@@ -99,3 +100,13 @@ def test_set_cover_takes_no_round_for_each_set(spark, monkeypatch):
     monkeypatch.setattr(S, "cut", lambda df: (written.append(1), plain(df))[1])
     got = S.set_cover(spark.createDataFrame(pairs, "element bigint, containing_set bigint")).collect()
     assert {r.containing_set for r in got} == want and len(got) == len(want) > 30 and len(written) < 12
+
+
+def test_reach_walks_an_edge_once_for_many_sources(spark, monkeypatch):
+    edges = spark.createDataFrame([(i, 1000) for i in range(70)] + [(1000, 2000 + i) for i in range(50)], "src bigint, dst bigint")
+    sizes, plain = [], T.cut
+    monkeypatch.setattr(T, "cut", lambda df: (out := plain(df), sizes.append(out.count()))[0])
+    got = T.reach(edges, spark.range(70))
+    assert max(sizes) < 300  # not a row for each of 70 sources and 50 ends
+    want = {(i, i, 0) for i in range(70)} | {(i, 1000, 1) for i in range(70)} | {(i, 2000 + j, 2) for i in range(70) for j in range(50)}
+    assert sorted(map(tuple, got.select("source", "node", "depth").collect())) == sorted(want)
