@@ -110,3 +110,18 @@ def test_reach_walks_an_edge_once_for_many_sources(spark, monkeypatch):
     assert max(sizes) < 300  # not a row for each of 70 sources and 50 ends
     want = {(i, i, 0) for i in range(70)} | {(i, 1000, 1) for i in range(70)} | {(i, 2000 + j, 2) for i in range(70) for j in range(50)}
     assert sorted(map(tuple, got.select("source", "node", "depth").collect())) == sorted(want)
+
+
+def test_voronoi_cells_hold_one_center_for_each_node(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("searched from each center by itself")
+
+    monkeypatch.setattr(S, "reach", refuse)
+    rnd = random.Random(4)
+    pairs, centers, near = [(rnd.randrange(60), rnd.randrange(60)) for _ in range(110)], [5, 17, 40], defaultdict(set)
+    for a, b in pairs:
+        near[a].add(b)
+    far = {c: _hops(near, c) for c in centers}
+    want = {n: min((far[c][n], c) for c in centers if n in far[c])[1] for n in range(60) if any(n in far[c] for c in centers)}
+    got = S.voronoi_cells(spark.createDataFrame(pairs, "src bigint, dst bigint"), spark.createDataFrame([(c,) for c in centers], "id bigint")).collect()
+    assert {r.node: r.center for r in got} == want and len(got) == len(want)
