@@ -125,3 +125,31 @@ def test_voronoi_cells_hold_one_center_for_each_node(spark, monkeypatch):
     want = {n: min((far[c][n], c) for c in centers if n in far[c])[1] for n in range(60) if any(n in far[c] for c in centers)}
     got = S.voronoi_cells(spark.createDataFrame(pairs, "src bigint, dst bigint"), spark.createDataFrame([(c,) for c in centers], "id bigint")).collect()
     assert {r.node: r.center for r in got} == want and len(got) == len(want)
+
+
+def test_weights_without_paths(spark):
+    rnd = random.Random(6)
+    pairs = [(rnd.randrange(30), rnd.randrange(30), rnd.randrange(1, 9)) for _ in range(120)]
+    edges, starts = spark.createDataFrame(pairs, "src bigint, dst bigint, weight bigint"), spark.createDataFrame([(0,), (7,)], "id bigint")
+    bare = T.weighted_shortest(edges, starts, paths=False)
+    assert bare.columns == ["source", "node", "weight"]
+    want = {}
+    for s in (0, 7):
+        best = {s: 0.0}
+        for _ in range(30):
+            for a, b, w in pairs:
+                if a in best and best[a] + w < best.get(b, float("inf")):
+                    best[b] = best[a] + w
+        want |= {(s, n): w for n, w in best.items()}
+    assert {(r.source, r.node): r.weight for r in bare.collect()} == want == {(r.source, r.node): r.weight for r in T.weighted_shortest(edges, starts).collect()}
+
+
+def test_bipartite_needs_no_double_cover(spark, monkeypatch):
+    def refuse(*_):
+        raise AssertionError("components of the double cover")
+
+    monkeypatch.setattr(S, "weakly_connected_components", refuse)
+    nodes = spark.range(12)
+    ring = [(i, (i + 1) % 8) for i in range(8)]
+    for pairs, even in ((ring, True), ([*ring, (0, 2)], False), ([*ring, (0, 3), (9, 10)], True), ([*ring, (9, 9)], False), ([(8, 9), (9, 10), (10, 8)], False)):
+        assert S.is_bipartite(nodes, spark.createDataFrame(pairs, "src bigint, dst bigint")).first()[0] == even
